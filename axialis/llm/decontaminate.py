@@ -36,17 +36,22 @@ ITEMS_A_PASS = 20_000
 BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def prefix_votes(words: np.ndarray) -> np.ndarray:
-    """Running sums of each bit's votes over a row of words, one line more than words."""
+def prefix_votes(words: np.ndarray, stride: int = 1) -> np.ndarray:
+    """Running sums of each bit's votes at every `stride` words; a whole number of strides.
+
+    They wrap at 16 bits, which differences of less than 2**15 don't notice."""
     bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros((len(words) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, dtype=np.int32, out=out[1:])
+    parts = bits[0::stride].copy()
+    for k in range(1, stride):
+        parts += bits[k::stride]
+    out = np.zeros((len(parts) + 1, 64), np.int16)
+    np.cumsum(parts, axis=0, dtype=np.int16, out=out[1:])
     return out
 
 
-def simhashes(votes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows of `size` words at `starts`."""
-    more = 2 * (votes[starts + size] - votes[starts]) > size
+def simhashes(votes: np.ndarray, starts: np.ndarray, size: int, stride: int = 1) -> np.ndarray:
+    """Fingerprints of the windows of `size` words that start at `starts`, in strides."""
+    more = votes[starts + size // stride] - votes[starts] > size // 2
     return np.packbits(more, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
@@ -110,17 +115,36 @@ class Items:
         self.first = first
         self.first_keys = np.array(sorted(first), np.uint64)
 
-    def search(self, words: np.ndarray, radius: int) -> set[tuple[int, int]]:
-        """Candidates (item, start of its window in the text)."""
-        n, out = len(words), set()
-        if self.index and n >= min(self.index):
-            votes = prefix_votes(words)
+    def search(self, words: np.ndarray, bounds: np.ndarray, radius: int) -> dict[int, set[tuple[int, int]]]:
+        """Candidates of each text: (item, start of its window in the text)."""
+        out: dict[int, set] = {}
+
+        def put(text, item, start):
+            for t, i, s in zip(text.tolist(), item.tolist(), start.tolist(), strict=True):
+                out.setdefault(t, set()).add((i, s))
+
+        n = np.diff(bounds)
+        if self.index:
+            strides = -(-n // self.stride)
+            first = np.concatenate([[0], np.cumsum(strides)])
+            even = np.zeros(first[-1] * self.stride, np.uint64)
+            even[np.arange(len(words)) + np.repeat(first[:-1] * self.stride - bounds[:-1], n)] = words
+            votes = prefix_votes(even, self.stride)
+            text = np.repeat(np.arange(len(n)), strides)
+            inside = np.arange(first[-1]) - first[text]
+            left = n[text] - inside * self.stride
             for size, index in self.index.items():
-                if n < size:
-                    continue
-                starts = np.arange(0, n - size + 1, self.stride)
-                left, right = index.near(simhashes(votes, starts, size), radius)
-                out.update(zip(index.owner[right].tolist(), (starts[left] - index.shift[right]).tolist(), strict=True))
+                starts = np.flatnonzero(left >= size)
+                if len(starts):
+                    at, found = index.near(simhashes(votes, starts, size, self.stride), radius)
+                    own = starts[at]
+                    put(text[own], index.owner[found], inside[own] * self.stride - index.shift[found])
+        if len(self.first_keys):
+            shingles, ends = shingle_hashes(words, bounds, SHINGLE)
+            at = np.flatnonzero(np.isin(shingles, self.first_keys))
+            text = np.searchsorted(ends, at, side="right") - 1
+            for t, a in zip(text.tolist(), at.tolist(), strict=True):
+                out.setdefault(t, set()).update((i, a - int(ends[t])) for i in self.first[int(shingles[a])])
         return out
 
 
@@ -134,24 +158,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / most) if most else 0.0
 
 
-def text_hits(items: Items, words: np.ndarray, radius: int, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, best similarity, its start in words, verified candidates) of one text's hashed words."""
-    if not len(words):
-        return []
-    shingles, _ = shingle_hashes(words, np.array([0, len(words)]), SHINGLE)
-    found = items.search(words, radius)
-    if len(items.first_keys):
-        for at in np.flatnonzero(np.isin(shingles, items.first_keys)):
-            found.update((i, int(at)) for i in items.first[int(shingles[at])])
-    best: dict[int, tuple[float, int, int]] = {}
-    for item, start in found:
-        own, width = items.shingles[item], max(1, int(items.size[item]) - SHINGLE + 1)
-        for at in {min(max(start + k, 0), max(0, len(shingles) - width)) for k in (0, -1, 1, -2, 2)}:
-            part = shingles[at : at + width]
-            if (got := overlap(own, part)) >= least:
-                s, p, n = best.get(item, (0.0, 0, 0))
-                best[item] = (got, at, n + 1) if got > s or (got == s and at < p) else (s, p, n + 1)
-    return [(i, *x) for i, x in best.items()]
+def hits(items: Items, texts: list[str], radius: int, least: float) -> dict[int, list[tuple[int, float, int, int]]]:
+    """Of each text that holds one: (item, best similarity, its start in words, verified candidates)."""
+    words, bounds = word_hashes(texts)
+    words = mix64(words)
+    out = {}
+    for text, found in items.search(words, bounds, radius).items():
+        own = words[bounds[text] : bounds[text + 1]]
+        shingles, _ = shingle_hashes(own, np.array([0, len(own)]), SHINGLE)
+        best: dict[int, tuple[float, int, int]] = {}
+        for item, start in found:
+            mine, width = items.shingles[item], max(1, int(items.size[item]) - SHINGLE + 1)
+            for at in {min(max(start + k, 0), max(0, len(shingles) - width)) for k in (0, -1, 1, -2, 2)}:
+                if (got := overlap(mine, shingles[at : at + width])) >= least:
+                    s, p, n = best.get(item, (0.0, 0, 0))
+                    best[item] = (got, at, n + 1) if got > s or (got == s and at < p) else (s, p, n + 1)
+        if best:
+            out[text] = [(i, *x) for i, x in sorted(best.items())]
+    return out
 
 
 def _passes(benchmark: DataFrame, size: int):
@@ -178,11 +202,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, l
         def run(batches, ids=ids, texts=texts):
             items = Items(ids, texts)
             for batch in text_chunks(batches, limit=1 << 20):
-                words, bounds = word_hashes(batch.column(1).to_pylist())
-                words = mix64(words)
                 at, rows = [], []
-                for i in range(batch.num_rows):
-                    got = text_hits(items, words[bounds[i] : bounds[i + 1]], radius, least)
+                for i, got in sorted(hits(items, batch.column(1).to_pylist(), radius, least).items()):
                     at += [i] * len(got)
                     rows += got
                 table = pd.DataFrame(rows, columns=["i", "s", "p", "n"])
@@ -201,9 +222,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
             items = Items(ids, texts)
 
             def judge(own: list[str]) -> list[bool]:
-                words, bounds = word_hashes(own)
-                words = mix64(words)
-                return [not text_hits(items, words[a:b], radius, least) for a, b in zip(bounds, bounds[1:], strict=False)]
+                found = hits(items, own, radius, least)
+                return [i not in found for i in range(len(own))]
 
             return judge
 

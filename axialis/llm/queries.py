@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, quality, token_count, token_files, toxicity
+from . import decontaminate, media, mixing, near_dedup, pii, quality, suffix_dedup, token_count, token_files, toxicity
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -30,10 +34,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(documents(spark, sf_dir))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(documents(spark, sf_dir))
 
@@ -46,5 +58,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_token_counts, op6_token_files, op8_media, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_decontamination, op4_token_counts, op5_near_dedup, op6_token_files, op7_pii, op8_media, op9_quality, op10_toxicity)}
 SQL = {"op2_mixing": mixing.MIX_SQL}

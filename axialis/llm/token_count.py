@@ -10,6 +10,8 @@ are ignored; special strings inside a text are read as the library reads them by
 
 from __future__ import annotations
 
+from itertools import chain
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -46,7 +48,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                     rest = [w for w in words if w not in whole]
                     counts[i] = len(words) - len(rest)
                     split.append((i, rest))
-            memo.learn({w for _, rest in split for w in rest})
+            memo.learn(chain.from_iterable(rest for _, rest in split))
             for i, rest in split:
                 counts[i] += sum(map(memo.__getitem__, rest))
             for i, got in zip(slow_at, tok.encode_batch(slow, add_special_tokens=False) if slow else [], strict=True):

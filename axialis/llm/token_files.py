@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def encoder(path: str, end: int):
                 slow.append(i)
             else:
                 plain.append((i, BYTE_SPLIT.findall(text)))
-        memo.learn({w for _, words in plain for w in words})
+        memo.learn(chain.from_iterable(words for _, words in plain))
         for i, words in plain:
             out[i] = b"".join(map(memo.__getitem__, words)) + stop
         if slow:

@@ -8,10 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
-
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+import struct
 
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x7f\xa1\xab\xbb\xbf\xc0-įı-ňŊ-ž]")
 BYTE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -20,6 +17,8 @@ CACHE = 400_000
 
 
 def load(path: str):
+    """The tokenizer, on the task's own thread only: parallel threads would take other tasks' cores and memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -32,22 +31,26 @@ def special(tokenizer) -> re.Pattern:
 
 
 class Memo(dict):
-    """Pre-token to value, at most CACHE of them; misses are encoded in one call a chunk."""
+    """Pre-token to value, at most CACHE of them and those of one chunk; misses are encoded together.
+
+    When full, the later half goes: common words come early, so the earlier half has them."""
 
     def __init__(self, tokenizer, value):
         super().__init__()
         self.tokenizer, self.value = tokenizer, value
 
     def learn(self, tokens) -> None:
-        new = list({t for t in tokens if t not in self})
+        tokens = set(tokens)
+        new = list(tokens.difference(self))
         if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(set(tokens))
+            for _ in range(min(len(self) // 2, len(self) + len(new) - CACHE // 2)):
+                self.popitem()
+            new = list(tokens.difference(self))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for token, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            for token, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[token] = self.value(got.ids)
 
 
 def as_bytes(ids) -> bytes:
-    return np.asarray(ids, np.uint32).astype("<u2").tobytes()
+    return struct.pack(f"<{len(ids)}H", *ids)
