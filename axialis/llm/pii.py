@@ -61,8 +61,8 @@ def _candidates(text: Column, kind: str, loose: bool) -> Column:
     made = F.transform(
         zipped,
         lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), F.lit(loose).alias("loose"), i.alias("i"), F.length(x["1"]).alias("gap"), x["0"].alias("hit"),
-            F.lower(F.right(x["1"], F.lit(32))).alias("before"), F.left(x["2"], F.lit(1)).alias("after"),
+            F.lit(kind).alias("kind"), F.lit(loose).alias("loose"), i.alias("i"), F.length(x["part"]).alias("gap"), x["hit"].alias("hit"),
+            F.lower(F.right(x["part"], F.lit(32))).alias("before"), F.left(x["then"], F.lit(1)).alias("after"),
         ),
     )
     empty = F.expr("cast(array() as array<struct<kind:string,loose:boolean,i:int,gap:int,hit:string,before:string,after:string>>)")
