@@ -8,10 +8,12 @@ the next point is later than the latest point kept.
 
 Signatures are cut into BANDS bands of ROWS places; at a similarity of 0.8 all bands differ with a probability of
 about (1 - 0.8**4)**25 = 2e-6. Equal texts are collapsed first, by MD5, so a group of copies is one row from
-there on. In each bucket every text is compared with the bucket's first one. After that, rounds of pivots go on:
-of the texts outside a bucket's largest component some are compared with every text of the bucket in another
-component. Each text is a pivot of a bucket once at most, and the rounds end when none is left: then every pair of
-a bucket has been compared or is in one component already. A link is a
+there on. In each bucket every text is compared with the bucket's first one; most texts of a group
+meet there. What is left are buckets that still hold two components, and links between those may be missing. For
+all texts of such buckets the missing pairs are found exactly, by prefix filtering: with a text's shingles in
+order of rarity, two texts of similarity 0.8 share one among the first fifth, at places that leave enough
+shingles after them. Texts of one component need no more pairs, and a text of which over a fifth occurs nowhere
+else has none, so a large group of copies doesn't come back as all its pairs. A link is a
 weighted Jaccard similarity (of shingle multisets) of at least 0.8, computed from the texts. Components come from
 min-label propagation with pointer jumping over tables written to the shared folder.
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, shingle_hashes, stored, text_chunks, word_hashes
@@ -33,7 +35,6 @@ ROWS = 4
 SIGNATURE = BANDS * ROWS
 SHINGLE = 5
 LEAST = 0.8
-PIVOTS = 4
 
 
 def text_key() -> Column:
@@ -123,6 +124,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, linked boolean")
 
 
+def _tokens(batches):
+    for batch in text_chunks(batches, limit=1 << 20):
+        words, bounds = word_hashes(batch.column(1).to_pylist())
+        shingles, ends = shingle_hashes(words, bounds, SHINGLE)
+        s, t, w = weighted(shingles, ends)
+        turn = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        token = mix64(np.repeat(s, w) + turn.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.int64)
+        text = np.repeat(t, w)
+        n = np.diff(ends)
+        for at in range(0, len(token), 100_000):
+            own = text[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(token[at : at + 100_000])], ["th", "n", "token"])
+
+
+def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `rest` (th, component) in different components that can have a similarity of 0.8.
+
+    The n-th occurrence of a shingle is a token of its own, so overlaps of tokens are those of multisets; o shared
+    ones of sizes p and q are similar enough if 9 o >= 4 (p + q)."""
+    own = texts.join(rest, "th", "left_semi").select("th", "text")
+    tokens = stored(own.mapInArrow(_tokens, "th binary, n int, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    known = tokens.join(often, "token").groupBy("th").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    known = known.where("5 * size(t) >= 4 * n")
+    placed = known.select("th", "n", F.posexplode("t").alias("i", "x"), (F.col("n") - F.size("t")).alias("alone"))
+    placed = placed.select("th", "n", F.col("x.token").alias("token"), (F.col("i") + F.col("alone")).alias("pos")).where("5 * (n - pos) >= 4 * n")
+    placed = stored(placed.join(rest, "th"), "prefixes")
+    p, q = placed.alias("p"), placed.alias("q")
+    both = p.join(q, F.expr("p.token = q.token and p.component < q.component and 9 * least(p.n - p.pos, q.n - q.pos) >= 4 * (p.n + q.n)"))
+    return both.select(F.col("p.th").alias("a"), F.col("q.th").alias("b")).distinct()
+
+
 def components(links: DataFrame, most: int = 40) -> DataFrame:
     """th, component of every text in a link: the least th of its component. Links are (a, b)."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -139,7 +172,7 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     return label
 
 
-def near_classes(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+def near_classes(docs: DataFrame) -> DataFrame:
     """th and component of each distinct text (component: the least th of those it is linked to)."""
     rows = docs.select(text_key().alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = rows.mapInArrow(_sign, "th binary, bands array<long>").groupBy("th").agg(F.first("bands").alias("bands"))
@@ -152,30 +185,14 @@ def near_classes(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     texts = stored(texts, "texts")
     tried = stored(verified(members.where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b")).distinct(), texts), "tried")
     label = components(tried.where("linked"))
-    done, turn = None, 0
-    while True:
-        named = stored(members.join(label, "th", "left").select("key", "th", F.coalesce("component", "th").alias("component")), "named")
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("largest"))
-        mixed = stored(named.join(largest, "key"), "mixed")
-        need = mixed.where("component <> largest").select("key", "th", F.col("component").alias("own"))
-        if done is not None:
-            need = need.join(done, ["key", "th"], "left_anti")
-        lot = F.pmod(F.xxhash64("th"), F.lit(pivots * 4**turn))
-        picked = need.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("th", "own")).alias("m")).select("key", F.col("m.th").alias("pivot"), F.col("m.own").alias("own"))
-        picked = stored(picked, "pivots")
-        if not picked.limit(1).count():
-            break
-        now = picked.select("key", F.col("pivot").alias("th"))
-        done = now if done is None else done.unionByName(now)
-        pairs = mixed.select("key", "th", "component").join(picked, "key").where(F.col("component") != F.col("own"))
-        pairs = pairs.select(F.least("th", "pivot").alias("a"), F.greatest("th", "pivot").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stored(verified(pairs.join(known, ["a", "b"], "left_anti"), texts), "tried")
-        tried = tried.unionByName(more)
-        if more.where("linked").limit(1).count():
-            label = components(tried.where("linked"))
-        turn += 1
+    named = members.join(label, "th", "left").select("key", "th", F.coalesce("component", "th").alias("component"))
+    named = stored(named, "named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = stored(named.join(mixed, "key").select("th", "component").distinct(), "rest")
+    more = stored(verified(prefix_pairs(rest, texts), texts), "tried")
+    links = tried.where("linked").select("a", "b")
+    if more.where("linked").limit(1).count():
+        label = components(links.unionByName(more.where("linked").select("a", "b")))
     every = signed.select("th").join(label, "th", "left")
     return every.select("th", F.coalesce("component", "th").alias("component"))
 
