@@ -8,8 +8,8 @@ the next point is later than the latest point kept.
 
 Signatures are cut into BANDS bands of ROWS places; at a similarity of 0.8 all bands differ with a probability of
 about (1 - 0.8**4)**25 = 2e-6. Equal texts are collapsed first, by MD5, so a group of copies is one row from
-there on. In each bucket every text is compared with the bucket's first one; most texts of a group
-meet there. What is left are buckets that still hold two components, and links between those may be missing. For
+there on. In each bucket every text is compared with the most central one, so most texts of a group
+meet. What is left are buckets that still hold two components, and links between those may be missing. For
 all texts of such buckets the missing pairs are found exactly, by prefix filtering: with a text's shingles in
 order of rarity, two texts of similarity 0.8 share one among the first fifth, at places that leave enough
 shingles after them. Texts of one component need no more pairs, and a text of which over a fifth occurs nowhere
@@ -178,8 +178,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     signed = rows.mapInArrow(_sign, "th binary, bands array<long>").groupBy("th").agg(F.first("bands").alias("bands"))
     signed = stored(signed, "signed")
     spread = signed.select("th", F.explode("bands").alias("key"))
-    heads = spread.groupBy("key").agg(F.min("th").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    members = stored(spread.join(heads, "key").select("key", "th", "head"), "members")
+    sizes = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(spread.join(sizes, "key"), "shared")
+    # a bucket's head is its most central text, whose buckets hold the most texts: changed copies lie around it
+    central = members.groupBy("th").agg(F.sum("n").alias("weight"))
+    members = members.join(central, "th").select("key", "th", "weight")
+    heads = members.groupBy("key").agg(F.max(F.struct("weight", "th")).alias("m")).select("key", F.col("m.th").alias("head"))
+    members = stored(members.join(heads, "key").select("key", "th", "head"), "members")
     wanted = members.select("th").distinct()
     texts = rows.join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     texts = stored(texts, "texts")
