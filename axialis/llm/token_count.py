@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks
-from .tokenizing import NOT_PLAIN, WORD_SPLIT, Memo, load, special
+from .tokenizing import NOT_PLAIN, WORD_SPLIT, Memo, by_model, kept_in_process, load, special
 
 
 def proven(path: str) -> frozenset[str]:
@@ -34,9 +34,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row; `path` names a word-end BPE file of the tokenizers library."""
     whole = proven(path)
 
-    def run(batches):
+    def make():
         tok = load(path)
-        marks, memo = special(tok), Memo(tok, len)
+        return tok, special(tok), Memo(by_model(tok), len)
+
+    def run(batches):
+        tok, marks, memo = kept_in_process(f"count:{path}", make)
         for batch in text_chunks(batches):
             counts, split, slow, slow_at = [0] * batch.num_rows, [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

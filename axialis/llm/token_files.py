@@ -1,7 +1,7 @@
 """Token ids as Arrow files of equal-length sequences.
 
 Each file is an Arrow IPC file whose record batches hold `tokens: fixed_size_list<uint16>[length]` and
-`mask: fixed_size_list<uint8>[length]` (1: a real id, 0: padding after a file's last id). All batches but the
+`mask: fixed_size_list<bool>[length]` (true: a real id, false: padding after a file's last id). All batches but the
 last have the same number of sequences, so sequence k is in batch k // ROWS, found through the file's footer
 and read by memory map without a copy. Ids fit 16 bits, which is checked against the vocabulary. A second Arrow
 file beside it has each document's id, first place and number of ids in that file.
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, text_chunks
-from .tokenizing import BYTE_SPLIT, NOT_PLAIN, Memo, as_bytes, load, special
+from .tokenizing import BYTE_SPLIT, NOT_PLAIN, Memo, as_bytes, by_model, kept_in_process, load, special
 
 LENGTH = 2048
 ROWS = 256
-BYTES_A_FILE = 24 << 20
+BYTES_A_FILE = 32 << 20
 
 
 def place(folder: str):
@@ -44,7 +44,7 @@ def encoder(path: str, end: int):
     tok = load(path)
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("ids need more than 16 bits")
-    marks, memo, stop = special(tok), Memo(tok, as_bytes), as_bytes([end])
+    marks, memo, stop = special(tok), Memo(by_model(tok), as_bytes), as_bytes([end])
 
     def run(texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -70,7 +70,7 @@ class Sequences:
 
     def __init__(self, sink, length: int):
         self.length, self.left, self.size = length, [], 0
-        kinds = [("tokens", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))]
+        kinds = [("tokens", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))]
         self.writer = pa.ipc.new_file(sink, pa.schema(kinds))
 
     def add(self, data: bytes) -> None:
@@ -85,8 +85,7 @@ class Sequences:
             self.left, self.size = [data[whole:]], len(data) - whole
 
     def put(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(ids)) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, ["tokens", "mask"]))
 
@@ -110,7 +109,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, length:
         where, top = place(folder)
         name, own = f"part-{part:06d}", f"{top}/.{part:06d}-{uuid.uuid4().hex}"
         where.create_dir(top, recursive=True)
-        encode, ids, starts, counts, at = encoder(path, end), [], [], [], 0
+        encode, ids, starts, counts, at = kept_in_process(f"ids:{path}:{end}", lambda: encoder(path, end)), [], [], [], 0
         with where.open_output_stream(own) as sink:
             out = Sequences(sink, length)
             for batch in text_chunks(batches):
@@ -165,7 +164,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                 doc, at, crc = 0, 0, 0
                 for k in range(reader.num_record_batches):
                     got = reader.get_batch(k)
-                    ids = got.column(0).values.to_numpy()[: int(got.column(1).values.to_numpy().sum())]
+                    ids = got.column(0).values.to_numpy()[: got.column(1).values.true_count]
                     wide, to = ids.astype("<u4"), at + len(ids)
                     while doc < len(ends) and starts[doc] < to:
                         crc = zlib.crc32(wide[max(0, starts[doc] - at) : ends[doc] - at].data, crc)

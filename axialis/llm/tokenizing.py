@@ -30,14 +30,37 @@ def special(tokenizer) -> re.Pattern:
     return re.compile("|".join(found) or r"(?!)", re.I)
 
 
+def byte_names() -> dict[int, str]:
+    """The printable character by which byte-level BPE names each byte: its own if printable, else from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in kept else chr(next(rest)) for b in range(256)}
+
+
+def by_model(tokenizer):
+    """A function from one pre-token to its ids: the library's BPE model on the bytes' names."""
+    names, model = byte_names(), tokenizer.model
+    return lambda token: [t.id for t in model.tokenize(token.encode().decode("latin-1").translate(names))]
+
+
+def kept_in_process(key: str, make):
+    """make()'s result, kept by this Python process for later tasks of any job with the same key."""
+    import tokenizers
+
+    store = tokenizers.__dict__.setdefault("_axialis_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 class Memo(dict):
     """Pre-token to value, at most CACHE of them and those of one chunk; misses are encoded together.
 
     When full, the later half goes: common words come early, so the earlier half has them."""
 
-    def __init__(self, tokenizer, value):
+    def __init__(self, encode, value):
         super().__init__()
-        self.tokenizer, self.value = tokenizer, value
+        self.encode, self.value = encode, value
 
     def learn(self, tokens) -> None:
         tokens = set(tokens)
@@ -46,10 +69,9 @@ class Memo(dict):
             for _ in range(min(len(self) // 2, len(self) + len(new) - CACHE // 2)):
                 self.popitem()
             new = list(tokens.difference(self))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for token, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[token] = self.value(got.ids)
+        encode, value = self.encode, self.value
+        for token in new:
+            self[token] = value(encode(token))
 
 
 def as_bytes(ids) -> bytes:
