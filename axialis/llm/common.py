@@ -39,11 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are sent to Python workers in batches of at most so many rows; the default of 10,000 is too much for long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `limit` bytes of text (or one row), nulls read as empty texts."""
     for batch in batches:
         if not batch.num_rows:
@@ -102,8 +109,9 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tupl
     return out, ends
 
 
-def filter_texts(docs: DataFrame, make, limit: int = 4 << 20) -> DataFrame:
+def filter_texts(docs: DataFrame, make, limit: int = 1 << 20) -> DataFrame:
     """The rows for whose text the judge keeps them, all columns. make() gives a task its judge: texts to booleans."""
+    small_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import filter_texts, mix64, text_chunks, word_hashes
 
 BITS = 20
-TRAIN_ROWS = 12000
+TRAIN_ROWS = 8000
 EPOCHS = 10
 LEAST = 5
 
