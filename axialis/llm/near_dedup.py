@@ -57,12 +57,12 @@ def signatures(shingles: np.ndarray, text: np.ndarray, weight: np.ndarray, texts
     """texts x places hashes; a text without shingles has zeros."""
     first = np.full(texts * places, np.inf)
     kept = np.zeros(texts * places, np.uint64)
-    live = np.arange(len(shingles))
+    live, mixed = np.arange(len(shingles)), mix64(shingles)
     time = np.zeros(len(shingles))
     turn = 0
     while len(live):
         turn += 1
-        noise = mix64(shingles[live] + np.uint64((turn * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+        noise = mix64(mixed[live] ^ mix64(np.array([turn], np.uint64)))
         time[live] -= np.log(((noise >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / weight[live]
         place = text[live] * places + (mix64(noise) % np.uint64(places)).astype(np.int64)
         np.minimum.at(first, place, time[live])
