@@ -78,19 +78,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-case words of all texts in a row, and the bounds of each text in them."""
+def coded_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct lower-case words, the place in them of each word of all texts in a row, and the bounds of each text."""
     words: list[str] = []
     bounds = np.zeros(len(texts) + 1, np.int64)
     for i, text in enumerate(texts):
         words += WORD.findall(text.lower())
         bounds[i + 1] = len(words)
-    if not words:
-        return np.zeros(0, np.uint64), bounds
     coded = pa.array(words, pa.large_string()).dictionary_encode()
-    distinct = np.asarray(coded.dictionary.to_pylist(), dtype=object)
-    hashed = pd.util.hash_array(distinct, categorize=False)
-    return hashed[coded.indices.to_numpy(zero_copy_only=False)], bounds
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), bounds
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of all texts in a row, and the bounds of each text in them."""
+    distinct, codes, bounds = coded_words(texts)
+    return hashed(distinct)[codes], bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,9 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text (null: empty) are its words, neighbouring word pairs and pairs with one word between,
-hashed into 2**BITS places; a feature counts once however often it occurs, so a long text is judged as a
-short one is. FTRL keeps a learning rate for each coordinate, and its L1 term leaves most weights at 0: only
+Features of a text (null: empty) are its words, neighbouring word pairs and pairs with one word between, and the
+stems (first STEM letters) of longer words, each also as seen TIMES times or more, which stand for inflected and
+compound words; all are hashed into 2**BITS places. Apart from that a feature counts once however often it occurs,
+so a long text is judged as a short one is. FTRL keeps a learning rate for each coordinate, and its L1 term leaves most weights at 0: only
 the others travel with the tasks, at most 2**BITS of them, whatever the corpus holds. A feature enters the model
 once LEAST of the rows it learns from have it (FTRL's feature inclusion), else rare words are learned by heart.
 
@@ -18,19 +19,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, mix64, text_chunks, word_hashes
+from .common import coded_words, filter_texts, hashed, mix64, text_chunks
 
 BITS = 20
 TRAIN_ROWS = 8000
 EPOCHS = 10
 LEAST = 5
+STEM = 5
+TIMES = (2, 4)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature places and the row of each, in no order and with repeats."""
-    words, bounds = word_hashes(texts)
+    distinct, codes, bounds = coded_words(texts)
+    words = hashed(distinct)[codes]
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     places, rows = [mix64(words)], [row]
+    stems = {w: i for i, w in enumerate(dict.fromkeys(w[:STEM] for w in distinct if len(w) > STEM))}
+    if stems:
+        own = np.array([stems[w[:STEM]] if len(w) > STEM else -1 for w in distinct], np.int64)[codes]
+        pair, n = np.unique((row * len(stems) + own)[own >= 0], return_counts=True)
+        keys = mix64(hashed(list(stems)))[pair % len(stems)]
+        for k, least in enumerate((1, *TIMES)):
+            places.append(mix64(keys + np.uint64(k + 1))[n >= least])
+            rows.append(pair[n >= least] // len(stems))
     for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         if len(words) > gap:
             same = row[gap:] == row[:-gap]
