@@ -103,14 +103,21 @@ def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, epoc
     ids = labelled_sample(labels, "toxic", keep, rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
     sent = picked.mapInArrow(_encode, "doc_id long, y int, feats binary")
-    table = sent.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("feats").alias("feats")).toPandas()
-    if table.empty:
+    table = sent.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("feats").alias("feats")).toArrow()
+    if not table.num_rows:
         return None
-    table = table.sort_values("doc_id").sample(frac=1, random_state=7)
+    table = table.sort_by("doc_id")
     bias = 1 << BITS
-    feats = [np.frombuffer(f, np.int32) for f in table.feats]
-    seen = np.bincount(np.concatenate(feats), minlength=bias) >= least
-    rows_ = [(np.append(f[seen[f]], bias), int(y)) for f, y in zip(feats, table.y, strict=True)]
+    label, feats = table["y"].to_pylist(), table["feats"]
+    count = np.zeros(bias, np.int32)
+    for f in feats:
+        count[np.frombuffer(f.as_buffer(), np.int32)] += 1
+    seen = count >= least
+    rows_ = []
+    for i in np.random.RandomState(7).permutation(len(label)):
+        f = np.frombuffer(feats[int(i)].as_buffer(), np.int32)
+        rows_.append((np.append(f[seen[f]], np.int32(bias)), label[i]))
+    del table, feats
     model = Ftrl(bias + 1)
     for _ in range(epochs):
         for at, y in rows_:
