@@ -341,3 +341,14 @@ def test_held_out_accuracy(spark):
     for query, name, least in ((queries.op9_quality, "quality", 0.97), (queries.op10_toxicity, "toxic", 0.93)):
         got = query(spark, sf).where("held_out").toPandas().set_index("doc_id").join(lab, how="inner").dropna(subset=[name])
         assert len(got) > 300 and (got.predicted == got[name]).mean() >= least
+
+
+def test_stems_of_long_words():
+    def places(text):
+        return set(toxicity.features([text])[0].tolist())
+
+    assert len(places("dummkopfig") & places("dummkopfs")) == 1
+    assert len(places("dummkopfig da dummkopfs") & places("dummkopfa du dummkopfe")) == 2
+    assert not places("dumm") & places("dummkopf")
+    at, row = toxicity.features(["dummkopfig", "", "dummkopfs"])
+    assert {k: set(at[row == k].tolist()) for k in (0, 1, 2)} == {0: places("dummkopfig"), 1: set(), 2: places("dummkopfs")}
