@@ -15,7 +15,8 @@ order of rarity, two texts of similarity 0.8 share one among the first fifth, at
 shingles after them. Texts of one component need no more pairs, and a text of which over a fifth occurs nowhere
 else has none, so a large group of copies doesn't come back as all its pairs. A link is a
 weighted Jaccard similarity (of shingle multisets) of at least 0.8, computed from the texts. Components come from
-min-label propagation with pointer jumping over tables written to the shared folder.
+min-label propagation with hooking of parents and pointer jumping, until no label changes, over tables written to
+the shared folder; the rounds grow with the logarithm of a chain of links.
 
 Defined cases: null texts are empty; texts without words only equal their exact copies; null doc_ids are kept and
 come after all others; repeated rows are in one class.
@@ -156,20 +157,23 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select(F.col("p.th").alias("a"), F.col("q.th").alias("b")).distinct()
 
 
-def components(links: DataFrame, most: int = 40) -> DataFrame:
-    """th, component of every text in a link: the least th of its component. Links are (a, b)."""
+def components(links: DataFrame) -> DataFrame:
+    """th, component of every text in a link: the least th of its component. Links are (a, b).
+
+    Each round takes the least label among a text's neighbours, gives it to the text's parent too (hooking), and
+    jumps over the parent. Labels only fall, and a round without a change leaves one label a component."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     label = stored(edges.groupBy(F.col("a").alias("th")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(most):
+    while True:
         far = edges.join(label.select(F.col("th").alias("b"), "component"), "b").groupBy(F.col("a").alias("th")).agg(F.min("component").alias("far"))
-        step = label.join(far, "th").select("th", F.least("component", "far").alias("component"), F.col("component").alias("was"))
-        jump = label.select(F.col("th").alias("component"), F.col("component").alias("root"))
-        new = step.join(jump, "component", "left").select("th", F.least(F.coalesce("root", "component"), "component").alias("component"), "was")
-        new = stored(new, "labels")
+        step = stored(label.join(far, "th").select("th", F.col("component").alias("was"), F.least("component", "far").alias("low")), "steps")
+        hooks = step.groupBy(F.col("was").alias("th")).agg(F.min("low").alias("hook"))
+        hooked = stored(step.join(hooks, "th", "left").select("th", "was", F.least("low", "hook").alias("component")), "hooked")
+        roots = hooked.select(F.col("th").alias("component"), F.col("component").alias("root"))
+        new = stored(hooked.join(roots, "component").select("th", F.least("component", "root").alias("component"), "was"), "labels")
         label = new.select("th", "component")
         if not new.where("component <> was").limit(1).count():
-            break
-    return label
+            return label
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

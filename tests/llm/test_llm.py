@@ -234,6 +234,14 @@ def test_near_duplicates(spark, edge, none):
     assert kept.columns == edge.columns and kept.count() == len(set(components_by_hand(texts_of(edge)).values()))
 
 
+def test_long_chain_is_one_class(spark):
+    words = prose(104 + 499 * 10, 41).split()
+    rows = [(k, " ".join(words[10 * k : 10 * k + 104])) for k in range(500)]  # each 0.818 like the next, 0.667 like the one after
+    random.Random(9).shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 500 and {r["class_id"] for r in got} == {min(r["text_id"] for r in got)}
+
+
 def test_signature_estimates_similarity():
     words = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     both = np.concatenate([words[:360], words[40:]])
