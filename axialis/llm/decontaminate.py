@@ -1,14 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 An item of n words is represented by windows of c words, c the largest of the window sizes that leaves room for
-STRIDE shifts (c + STRIDE - 1 <= n): its windows at shifts 0..STRIDE-1. A text's windows of c words start at
+STRIDE shifts (c + STRIDE - 1 <= n): its windows at shifts 0..STRIDE-1. An item that leaves more than the
+largest window and its shifts is represented by blocks of LONG words over its whole length, the last one ending
+with the item, each at all shifts, so a copy is found by any part of it that has few changes. A text's windows of c words start at
 every multiple of STRIDE, so a passage that holds the item word for word has a window equal to one of those,
 wherever it starts. Windows are compared by 64-bit SimHash over their words. A multi-index finds every pair
 within RADIUS = 7: the fingerprint is cut into four blocks of 16 bits, and of at most seven differing bits some
 block has at most one, so looking up each block among the items' blocks and their 16 one-bit neighbours misses
 none. A candidate is verified exactly: the weighted Jaccard similarity (multisets) of five-word shingles between
 the item and the item-sized window of the text at the aligned place, and one and two words to either side, is
-at least 0.8. An item too short for any window size is found by its shingles alone (its first shingle word for
+at least 0.8; for an item in blocks, whose changes can move the rest by some words, all windows up to a ninth of the
+item to either side are verified. An item too short for any window size is found by its shingles alone (its first shingle word for
 word, then the same verification).
 
 The items' index travels with the tasks while the benchmark has at most ITEMS_A_PASS items; a larger benchmark
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import filter_texts, mix64, shingle_hashes, text_chunks, word_hashes
 
 SIZES = (8, 12, 16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128)
+LONG = 64
 STRIDE = 4
 RADIUS = 7
 SHINGLE = 5
@@ -104,14 +108,20 @@ class Items:
         for i, n in enumerate(self.size):
             size = max((c for c in SIZES if c + stride - 1 <= n), default=0)
             if size:
+                last, at = 0, np.zeros(1, np.int64)
+                if n >= SIZES[-1] + stride:
+                    size = LONG
+                    last = n - size - stride + 1
+                    at = np.append(np.arange(0, last, size), last)
+                shifts = (at[:, None] + np.arange(stride)).reshape(-1)
                 votes = prefix_votes(words[bounds[i] : bounds[i + 1]])
-                grouped.setdefault(size, []).append((i, simhashes(votes, np.arange(stride), size)))
+                grouped.setdefault(size, []).append((i, shifts, simhashes(votes, shifts, size)))
             elif n:
                 first.setdefault(int(shingles[ends[i]]), []).append(i)
         self.index = {}
         for size, rows in grouped.items():
-            owner = np.repeat([i for i, _ in rows], stride)
-            self.index[size] = BlockIndex(np.concatenate([p for _, p in rows]), owner, np.tile(np.arange(stride), len(rows)))
+            owner = np.repeat([i for i, _, _ in rows], [len(s) for _, s, _ in rows])
+            self.index[size] = BlockIndex(np.concatenate([p for _, _, p in rows]), owner, np.concatenate([s for _, s, _ in rows]))
         self.first = first
         self.first_keys = np.array(sorted(first), np.uint64)
 
@@ -158,6 +168,28 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / most) if most else 0.0
 
 
+def overlaps(item: np.ndarray, shingles: np.ndarray, width: int) -> np.ndarray:
+    """The overlap of a sorted multiset with each window of `width` shingles of a text, windows in order.
+
+    A text's shingle adds to the windows that hold it, but not as many of the same before it as the item has."""
+    keys, most = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+    place = np.flatnonzero(keys[at] == shingles)
+    place = place[np.argsort(at[place], kind="stable")]
+    key, turn = at[place], np.arange(len(place))
+    back = turn - most[key]
+    same = (back >= 0) & (key[back] == key)
+    windows = max(1, len(shingles) - width + 1)
+    low = np.maximum(place - width + 1, 0)
+    low[same] = np.maximum(low[same], place[back[same]] + 1)
+    high = np.minimum(place, windows - 1) + 1
+    some = low < high
+    steps = np.bincount(low[some], minlength=windows + 1) - np.bincount(high[some], minlength=windows + 1)
+    low_words = np.cumsum(steps[:windows])
+    sizes = len(item) + min(width, len(shingles)) - low_words
+    return low_words / sizes
+
+
 def hits(items: Items, texts: list[str], radius: int, least: float) -> dict[int, list[tuple[int, float, int, int]]]:
     """Of each text that holds one: (item, best similarity, its start in words, verified candidates)."""
     words, bounds = word_hashes(texts)
@@ -167,12 +199,24 @@ def hits(items: Items, texts: list[str], radius: int, least: float) -> dict[int,
         own = words[bounds[text] : bounds[text + 1]]
         shingles, _ = shingle_hashes(own, np.array([0, len(own)]), SHINGLE)
         best: dict[int, tuple[float, int, int]] = {}
+        long: dict[int, set[int]] = {}
         for item, start in found:
+            if items.size[item] >= SIZES[-1] + items.stride:
+                reach = int(items.size[item]) // 9 + 3
+                long.setdefault(item, set()).update(range(start - reach, start + reach + 1))
+                continue
             mine, width = items.shingles[item], max(1, int(items.size[item]) - SHINGLE + 1)
             for at in {min(max(start + k, 0), max(0, len(shingles) - width)) for k in (0, -1, 1, -2, 2)}:
                 if (got := overlap(mine, shingles[at : at + width])) >= least:
                     s, p, n = best.get(item, (0.0, 0, 0))
                     best[item] = (got, at, n + 1) if got > s or (got == s and at < p) else (s, p, n + 1)
+        for item, places in long.items():
+            similar = overlaps(items.shingles[item], shingles, int(items.size[item]) - SHINGLE + 1)
+            tried = np.unique(np.clip(sorted(places), 0, len(similar) - 1))
+            good = tried[similar[tried] >= least]
+            if len(good):
+                top = int(good[np.argmax(similar[good])])
+                best[item] = (float(similar[top]), top, len(good))
         if best:
             out[text] = [(i, *x) for i, x in sorted(best.items())]
     return out

@@ -155,6 +155,44 @@ def test_block_index_misses_none():
     assert {(i, i) for i in range(50)} <= set(zip(a.tolist(), b.tolist(), strict=True))
 
 
+def test_overlaps_of_all_windows():
+    rng = np.random.default_rng(3)
+    for n, width in ((60, 9), (7, 9), (9, 9), (200, 40)):
+        item, text = np.sort(rng.integers(0, 12, width)).astype(np.uint64), rng.integers(0, 15, n).astype(np.uint64)
+        want = [decontaminate.overlap(item, np.sort(text[k : k + width])) for k in range(max(1, n - width + 1))]
+        assert decontaminate.overlaps(item, text, width).tolist() == pytest.approx(want)
+
+
+def changed_copy(words, kind, rng):
+    n, w = len(words), list(words)
+    most = (n - 4) // 9 - 6
+    new = [f"new{rng.randrange(10**9)}" for _ in range(n)]
+    if kind == "opening":
+        w[:most] = new[:most]
+    elif kind == "middle":
+        w[n // 2 - most // 2 : n // 2 - most // 2 + most] = new[:most]
+    elif kind == "singles":
+        for k in rng.sample(range(n), most // 6):
+            w[k] = new[k]
+    elif kind == "inserted":
+        w[20:20] = new[: most // 2]
+    elif kind == "deleted":
+        del w[20 : 20 + most // 2]
+    return w
+
+
+def test_long_items_are_found_by_any_part():
+    rng = random.Random(4)
+    for n in (150, 300, 500, 1000):
+        texts = [prose(n, 1000 * n + k) for k in range(10)]
+        items = decontaminate.Items(list(range(10)), texts)
+        for kind in ("none", "opening", "middle", "singles", "inserted", "deleted"):
+            held = [prose(rng.randrange(60), k) + " " + " ".join(changed_copy(t.split(), kind, rng)) + " " + prose(150, 77) for k, t in enumerate(texts)]
+            got = decontaminate.hits(items, held, decontaminate.RADIUS, 0.8)
+            found = sum(any(x[0] == k for x in got.get(k, [])) for k in range(10))
+            assert found >= 9, (n, kind)
+
+
 def test_token_counts(spark, edge, none):
     path = queries._tokenizer("word_bpe_49k.json")
     tok = tokenizing.load(path)
