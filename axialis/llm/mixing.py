@@ -1,9 +1,13 @@
 """Mixing sources to target weights along a curriculum.
 
-Each source's sampling weight changes over training time t in 0..1 as a line from w*(1+slope) to w*(1-slope);
-its integral over time is the source's target of words. A document's place on its source's axis of cumulative
-demand is inverted through that integral (a quadratic, in closed form) to the time at which the source has
-used up the words before it, and documents are range-sorted by that time.
+Each source's sampling weight changes over training time t in 0..1 as a line of its own, from w*(1+slope) to
+w*(1-slope), so the shares of the sources vary with time; its integral over time is the source's target of words.
+In `mix_rows` every copy taken has a place on its source's axis of cumulative demand: the words that the source has
+given before it (first all documents once, then again), over its target. The place is inverted through the integral (a quadratic, in
+closed form) to the time at which the source has used up those words, and copies are range-sorted by that time.
+
+`mix_report` has one row a document, whose position is that of MIX_SQL: one line of slope 0.5 for all sources, over
+the document's place in its source's words.
 
 Targets share `share` of all words by weight; none passes `cap` times its source's size, the excess is shared
 anew by weight (water-filling, in closed form over the sources ordered by size/weight). Cumulative sums are
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS = (5, 2, 1)
+SLOPES = (0.5, 0.0, -0.5)
 ROWS_A_BUCKET = 20_000
 
 
@@ -30,12 +35,16 @@ def word_count(text: str = "text") -> Column:
     return F.size(F.array_remove(F.split(spaced, " +"), "")).cast("long")
 
 
+def dealt(values) -> Column:
+    """The values dealt to the sources in order, in turns."""
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    return F.element_at(F.array(*[F.lit(float(x)) for x in values]), ((F.row_number().over(order) - 1) % len(values) + 1).cast("int"))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """From (source, size): source, source_size, weight, target. One row a source."""
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    total = total.withColumn("weight", w).withColumn("most", F.lit(cap) * F.col("source_size"))
+    total = total.withColumn("weight", dealt(weights)).withColumn("most", F.lit(cap) * F.col("source_size"))
     by_cap = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     after = by_cap.rowsBetween(0, Window.unboundedFollowing)
@@ -48,7 +57,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: f
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, slope: float = 0.5, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """The rows of `docs` with __size, __source_size, __target, __taken, __copies and __time, in order of __time.
+    """The rows of `docs` with __source, __size, __start (words before it in its source), __source_size, __target, __taken, __copies and __time.
 
     A source with target/size = k + f takes every document k times and, of its documents in hash order, those
     whose middle lies below the fraction f of its words once more."""
@@ -64,10 +73,10 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0
     running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
     g, p = goal.alias("g"), parts.alias("p")
-    parts = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select(F.col("p.source").alias("__s"), F.col("p.__bucket").alias("__b"), "before", "source_size", "target")
+    parts = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select(F.col("p.source").alias("__source"), F.col("p.__bucket").alias("__b"), "before", "source_size", "target")
     inside = Window.partitionBy("source", "__bucket").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
     start = F.col("before") + F.col("__within")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio)
@@ -76,7 +85,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0
     u = F.when(F.col("source_size") > 0, start / F.col("source_size")).otherwise(F.lit(0.0))
     b = F.lit(1.0 + slope)
     time = F.when(F.lit(slope != 0), (b - F.sqrt(b * b - 4.0 * slope * u)) / (2.0 * slope) if slope else u)
-    out = rows.select(*docs.columns, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), (copies * F.col("__size")).alias("__taken"), copies.alias("__copies"), time.alias("__time"), "__key")
+    out = rows.select(*docs.columns, "__source", "__size", start.alias("__start"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), (copies * F.col("__size")).alias("__taken"), copies.alias("__copies"), time.alias("__time"), "__key")
     return out
 
 
@@ -87,10 +96,26 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
     return out.orderBy("position", "doc_id")
 
 
-def mix_rows(docs: DataFrame, **how) -> DataFrame:
-    """The documents taken, each as many times as the mix takes it, range-sorted by training time."""
-    rows = mixed(docs, **how).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return rows.orderBy(F.col("__time") + F.col("__copy") - 1, "__key").select(*docs.columns)
+def time_of(demand: Column, slope: Column) -> Column:
+    """The time in 0..1 at which a line from 1 + slope to 1 - slope, -1 to 1, has the integral `demand`."""
+    b = F.lit(1.0) + slope
+    root = F.sqrt(F.greatest(b * b - F.lit(4.0) * slope * demand, F.lit(0.0)))
+    return F.when(demand > 0, F.lit(2.0) * demand / (b + root)).otherwise(F.lit(0.0))
+
+
+def mix_rows(docs: DataFrame, slopes=SLOPES, **how) -> DataFrame:
+    """The documents taken, each as many times as the mix takes it, range-sorted by the training time of each copy.
+
+    `slopes` are dealt to the sources in order, as the weights are."""
+    if any(abs(x) > 1 for x in slopes):
+        raise ValueError("slopes are from -1 to 1")
+    rows = mixed(docs, **how)
+    lines = docs.select("source").distinct().select(F.col("source").alias("__line"), dealt(slopes).alias("__slope"))
+    rows = rows.where("__copies > 0").join(F.broadcast(lines), F.col("__source").eqNullSafe(F.col("__line")))
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    before = (F.col("__copy") - 1) * F.col("__source_size") + F.col("__start")
+    demand = F.when(F.col("__target") > 0, F.least(before / F.col("__target"), F.lit(1.0))).otherwise(F.lit(0.0))
+    return rows.orderBy(time_of(demand, F.col("__slope")), "__key", "__copy").select(*docs.columns)
 
 
 MIX_SQL = r"""

@@ -114,6 +114,22 @@ def test_mixing_targets(spark):
     assert got == pytest.approx({"s0": 200.0, "s1": 375.0, "s2": 100.0})
 
 
+def test_slices_of_the_order_have_the_scheduled_shares(spark):
+    rng = random.Random(12)
+    docs = [(k, "w " * rng.randint(5, 15), f"s{k % 3}") for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    target = {r["source"]: r["target"] for r in mixing.source_targets(df.select("source", mixing.word_count().alias("size"))).collect()}
+    for slopes in (mixing.SLOPES, (-1.0, 1.0, 0.2)):
+        got = [(r["source"], r["text"].count("w")) for r in mixing.mix_rows(df, slopes).collect()]
+        ends = np.cumsum([n for _, n in got])
+        due = {t: {s: w * (t * (1 + a) - a * t * t) for (s, w), a in zip(sorted(target.items()), slopes, strict=True)} for t in np.linspace(0, 1, 9)}
+        for a, b in zip(list(due)[:-1], list(due)[1:], strict=True):
+            lo, hi = (np.searchsorted(ends, sum(due[t].values()), side="right") for t in (a, b))
+            for s in target:
+                words = sum(n for x, n in got[lo:hi] if x == s)
+                assert words == pytest.approx(due[b][s] - due[a][s], abs=60), (slopes, a, s)
+
+
 def test_mixing_sql(spark, sf_dir):
     got = mixing.mix_report(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
     con = duckdb.connect()
