@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,20 +16,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
 _LOCAL: list[str] = []
+_PATHS: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests, single machine) a local folder stands in for it."""
+    Without the setting a folder of this machine stands in for it, in local mode only (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="axialis-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
         base = "file://" + _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -36,7 +42,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of `stored` frames that nothing will read again."""
+    for df in frames:
+        remove(df.sparkSession, _PATHS[id(df)])
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """Inner join of rows with `one`, which has a row a key, so that a key of most rows isn't one task's.
+
+    The distinct (key, salt) of the rows are joined first, at most `salts` a key, then the rows by both; the salt is
+    a hash of the column `spread`."""
+    rows = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    dealt = rows.select(key, "__salt").distinct().join(one, key)
+    return rows.join(dealt, [key, "__salt"]).drop("__salt")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -50,6 +81,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sliced(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose rows' sizes add up to at most `limit`, or of one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def byte_chunks(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `limit` bytes (or one row) in the given text or binary columns."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from sliced(batch, sum(lengths(batch.column(i)) for i in columns), limit)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `limit` bytes of text (or one row), nulls read as empty texts."""
     for batch in batches:
@@ -57,14 +109,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             continue
         i = batch.schema.get_field_index(column)
         texts = pc.fill_null(batch.column(i).cast(pa.large_string()), "")
-        batch = batch.set_column(i, column, texts)
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+        yield from sliced(batch.set_column(i, column, texts), lengths(texts), limit)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -118,12 +163,13 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tupl
 def filter_texts(docs: DataFrame, make, limit: int = 1 << 20) -> DataFrame:
     """The rows for whose text the judge keeps them, all columns. make() gives a task its judge: texts to booleans."""
     small_batches(docs.sparkSession)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index("text")
 
     def run(batches):
         judge = make()
-        for batch in text_chunks(batches, limit=limit):
+        both = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(place)], ["row", "text"]) for b in batches)
+        for batch in text_chunks(both, limit=limit):
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(judge(batch.column(1).to_pylist()), pa.bool_()))], ["row"])
 
-    return packed.mapInArrow(run, T.StructType([packed.schema["row"]])).select("row.*")
+    return packed.mapInArrow(run, packed.schema).select("row.*")

@@ -1,42 +1,49 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-An item of n words is represented by windows of c words, c the largest of the window sizes that leaves room for
-STRIDE shifts (c + STRIDE - 1 <= n): its windows at shifts 0..STRIDE-1. An item that leaves more than the
-largest window and its shifts is represented by blocks of LONG words over its whole length, the last one ending
-with the item, each at all shifts, so a copy is found by any part of it that has few changes. A text's windows of c words start at
-every multiple of STRIDE, so a passage that holds the item word for word has a window equal to one of those,
-wherever it starts. Windows are compared by 64-bit SimHash over their words. A multi-index finds every pair
-within RADIUS = 7: the fingerprint is cut into four blocks of 16 bits, and of at most seven differing bits some
-block has at most one, so looking up each block among the items' blocks and their 16 one-bit neighbours misses
-none. A candidate is verified exactly: the weighted Jaccard similarity (multisets) of five-word shingles between
-the item and the item-sized window of the text at the aligned place, and one and two words to either side, is
-at least 0.8; for an item in blocks, whose changes can move the rest by some words, all windows up to a ninth of the
-item to either side are verified. An item too short for any window size is found by its shingles alone (its first shingle word for
-word, then the same verification).
-
-The items' index travels with the tasks while the benchmark has at most ITEMS_A_PASS items; a larger benchmark
-is taken in passes of that many, each over all texts, so memory stays bounded and no pair is left out.
+Windows of words are compared by 64-bit SimHash, on a multi-index that finds every pair within RADIUS = 7: the
+fingerprint is cut into four blocks of 16 bits, and of at most seven differing bits some block has at most one, so
+looking up each block among the items' blocks and their 16 one-bit neighbours misses none.
+
+An item of n words is represented by item-sized windows, at its start and at its end, of the largest size that
+leaves room for STRIDE shifts (128 words at most), each at all shifts; a text's windows of that size start at every
+multiple of STRIDE, so some pair of them holds the same words wherever the item starts. Changes can still move more than seven
+bits, so windows of the item's pieces complete them. Of the m = n - 4 shingles, a similarity of 0.8 lets at most
+m / 5 be lost at the item's ends, and m / 36 changes be made between: a change costs at least four shingles of the
+item and adds four to the text, while (both's shingles - shared) is at most a quarter of the shared ones. What the ends can't
+lose is cut into m // 36 + 1 pieces, so one piece is always unchanged, and its window is found with no bit differing.
+Pieces of under 11 words, of short items, are searched at every word of a text (stride 1) at their full size.
+(Items that repeat their own shingles in another order aren't covered by this count.)
+
+A candidate is verified exactly: the weighted Jaccard similarity (multisets) of five-word shingles between the item
+and the item-sized windows of the text (a shorter text: the whole of it) that start up to an item's length from where the
+fingerprint puts it, at least 0.8. An item of under five words has one shorter shingle, so it
+matches texts of the same words only, and isn't searched inside longer texts.
+
+The items' index travels with the tasks while the benchmark has at most ITEMS_A_PASS items and PASS_BYTES of text; a
+larger benchmark is taken in passes of that size, each over all texts and with its matches written to the shared
+folder, so a job holds one pass's items and no pair is left out.
 
 Defined cases: null and empty texts and items match nothing; repeated rows match alike, one row for each item;
-null doc_ids are kept.
+null doc_ids are kept; ids may be of any type.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import filter_texts, mix64, shingle_hashes, text_chunks, word_hashes
+from .common import filter_texts, mix64, shingle_hashes, stored, text_chunks, word_hashes
 
-SIZES = (8, 12, 16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128)
-LONG = 64
 STRIDE = 4
+SIZES = {STRIDE: (8, 12, 16, 20, 24, 32, 48, 64, 96, 128), 1: (5, 6, 7, 8, 10)}
 RADIUS = 7
 SHINGLE = 5
 ITEMS_A_PASS = 20_000
+PASS_BYTES = 32 << 20
 BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -93,37 +100,43 @@ class BlockIndex:
         return both // len(self.prints), both % len(self.prints)
 
 
+def item_windows(n: int) -> list[tuple[int, int, int]]:
+    """(stride, size, first word) of the windows that represent an item of n words, n from 5 on."""
+    out = set()
+    if size := max((c for c in SIZES[STRIDE] if c + STRIDE - 1 <= n), default=0):
+        out |= {(STRIDE, size, 0), (STRIDE, size, n - size - STRIDE + 1)}
+    shingles = n - SHINGLE + 1
+    edge, pieces = shingles // 5, shingles // 36 + 1
+    piece = (n - 2 * edge) // pieces
+    stride = STRIDE if piece >= min(SIZES[STRIDE]) + STRIDE - 1 else 1
+    size = max(c for c in SIZES[stride] if c + stride - 1 <= piece)
+    return sorted(out | {(stride, size, edge + k * piece) for k in range(pieces)})
+
+
 class Items:
     """One pass's items, ready for search."""
 
-    def __init__(self, ids: list, texts: list[str], stride: int = STRIDE):
-        self.ids, self.stride = ids, stride
+    def __init__(self, ids: list, texts: list[str]):
+        self.ids = ids
         words, bounds = word_hashes(texts)
         words = mix64(words)
         self.size = np.diff(bounds)
         shingles, ends = shingle_hashes(words, bounds, SHINGLE)
         self.shingles = [np.sort(shingles[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        grouped: dict[int, list] = {}
-        first: dict[int, list[int]] = {}
-        for i, n in enumerate(self.size):
-            size = max((c for c in SIZES if c + stride - 1 <= n), default=0)
-            if size:
-                last, at = 0, np.zeros(1, np.int64)
-                if n >= SIZES[-1] + stride:
-                    size = LONG
-                    last = n - size - stride + 1
-                    at = np.append(np.arange(0, last, size), last)
-                shifts = (at[:, None] + np.arange(stride)).reshape(-1)
+        grouped: dict[tuple[int, int], list] = {}
+        self.short: dict[int, list[int]] = {}
+        for i, n in enumerate(self.size.tolist()):
+            if n >= SHINGLE:
                 votes = prefix_votes(words[bounds[i] : bounds[i + 1]])
-                grouped.setdefault(size, []).append((i, shifts, simhashes(votes, shifts, size)))
+                for stride, size, first in item_windows(n):
+                    shifts = first + np.arange(stride)
+                    grouped.setdefault((stride, size), []).append((np.full(stride, i), shifts, simhashes(votes, shifts, size)))
             elif n:
-                first.setdefault(int(shingles[ends[i]]), []).append(i)
+                self.short.setdefault(int(shingles[ends[i]]), []).append(i)
         self.index = {}
-        for size, rows in grouped.items():
-            owner = np.repeat([i for i, _, _ in rows], [len(s) for _, s, _ in rows])
-            self.index[size] = BlockIndex(np.concatenate([p for _, _, p in rows]), owner, np.concatenate([s for _, s, _ in rows]))
-        self.first = first
-        self.first_keys = np.array(sorted(first), np.uint64)
+        for key, rows in sorted(grouped.items()):
+            owner, shift, prints = (np.concatenate(x) for x in zip(*rows, strict=True))
+            self.index[key] = BlockIndex(prints, owner, shift)
 
     def search(self, words: np.ndarray, bounds: np.ndarray, radius: int) -> dict[int, set[tuple[int, int]]]:
         """Candidates of each text: (item, start of its window in the text)."""
@@ -134,40 +147,29 @@ class Items:
                 out.setdefault(t, set()).add((i, s))
 
         n = np.diff(bounds)
-        if self.index:
-            strides = -(-n // self.stride)
+        for stride in dict.fromkeys(s for s, _ in self.index):
+            strides = -(-n // stride)
             first = np.concatenate([[0], np.cumsum(strides)])
-            even = np.zeros(first[-1] * self.stride, np.uint64)
-            even[np.arange(len(words)) + np.repeat(first[:-1] * self.stride - bounds[:-1], n)] = words
-            votes = prefix_votes(even, self.stride)
+            even = np.zeros(first[-1] * stride, np.uint64)
+            even[np.arange(len(words)) + np.repeat(first[:-1] * stride - bounds[:-1], n)] = words
+            votes = prefix_votes(even, stride)
             text = np.repeat(np.arange(len(n)), strides)
             inside = np.arange(first[-1]) - first[text]
-            left = n[text] - inside * self.stride
-            for size, index in self.index.items():
-                starts = np.flatnonzero(left >= size)
-                if len(starts):
-                    at, found = index.near(simhashes(votes, starts, size, self.stride), radius)
-                    own = starts[at]
-                    put(text[own], index.owner[found], inside[own] * self.stride - index.shift[found])
-        if len(self.first_keys):
+            left = n[text] - inside * stride
+            for (own, size), index in self.index.items():
+                if own == stride and len(starts := np.flatnonzero(left >= size)):
+                    at, found = index.near(simhashes(votes, starts, size, stride), radius)
+                    at = starts[at]
+                    put(text[at], index.owner[found], inside[at] * stride - index.shift[found])
+        if self.short:
+            texts = np.flatnonzero((n > 0) & (n < SHINGLE))
             shingles, ends = shingle_hashes(words, bounds, SHINGLE)
-            at = np.flatnonzero(np.isin(shingles, self.first_keys))
-            text = np.searchsorted(ends, at, side="right") - 1
-            for t, a in zip(text.tolist(), at.tolist(), strict=True):
-                out.setdefault(t, set()).update((i, a - int(ends[t])) for i in self.first[int(shingles[a])])
+            for t in texts.tolist():
+                for i in self.short.get(int(shingles[ends[t]]), ()):
+                    out.setdefault(t, set()).add((i, 0))
         return out
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets."""
-    both = np.concatenate([a, b])
-    keys, at = np.unique(both, return_inverse=True)
-    x = np.bincount(at[: len(a)], minlength=len(keys))
-    y = np.bincount(at[len(a) :], minlength=len(keys))
-    most = np.maximum(x, y).sum()
-    return float(np.minimum(x, y).sum() / most) if most else 0.0
-
-
 def overlaps(item: np.ndarray, shingles: np.ndarray, width: int) -> np.ndarray:
     """The overlap of a sorted multiset with each window of `width` shingles of a text, windows in order.
 
@@ -190,86 +192,111 @@ def overlaps(item: np.ndarray, shingles: np.ndarray, width: int) -> np.ndarray:
     return low_words / sizes
 
 
+def ranges(starts: list[int], reach: int, last: int):
+    """The starts and `reach` to either side of each, held in 0..last, as ascending disjoint (first, last)."""
+    out: list[list[int]] = []
+    for s in sorted(starts):
+        lo, hi = min(max(s - reach, 0), last), min(max(s + reach, 0), last)
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def hits(items: Items, texts: list[str], radius: int, least: float) -> dict[int, list[tuple[int, float, int, int]]]:
-    """Of each text that holds one: (item, best similarity, its start in words, verified candidates)."""
+    """Of each text that holds one: (item, best similarity, its start in words, windows that are similar enough)."""
     words, bounds = word_hashes(texts)
     words = mix64(words)
     out = {}
     for text, found in items.search(words, bounds, radius).items():
         own = words[bounds[text] : bounds[text + 1]]
         shingles, _ = shingle_hashes(own, np.array([0, len(own)]), SHINGLE)
-        best: dict[int, tuple[float, int, int]] = {}
-        long: dict[int, set[int]] = {}
+        places: dict[int, list[int]] = {}
         for item, start in found:
-            if items.size[item] >= SIZES[-1] + items.stride:
-                reach = int(items.size[item]) // 9 + 3
-                long.setdefault(item, set()).update(range(start - reach, start + reach + 1))
-                continue
-            mine, width = items.shingles[item], max(1, int(items.size[item]) - SHINGLE + 1)
-            for at in {min(max(start + k, 0), max(0, len(shingles) - width)) for k in (0, -1, 1, -2, 2)}:
-                if (got := overlap(mine, shingles[at : at + width])) >= least:
-                    s, p, n = best.get(item, (0.0, 0, 0))
-                    best[item] = (got, at, n + 1) if got > s or (got == s and at < p) else (s, p, n + 1)
-        for item, places in long.items():
-            similar = overlaps(items.shingles[item], shingles, int(items.size[item]) - SHINGLE + 1)
-            tried = np.unique(np.clip(sorted(places), 0, len(similar) - 1))
-            good = tried[similar[tried] >= least]
-            if len(good):
-                top = int(good[np.argmax(similar[good])])
-                best[item] = (float(similar[top]), top, len(good))
-        if best:
-            out[text] = [(i, *x) for i, x in sorted(best.items())]
+            places.setdefault(item, []).append(start)
+        good = []
+        for item, starts in sorted(places.items()):
+            n = int(items.size[item])
+            width = max(1, n - SHINGLE + 1)
+            best, at, count = 0.0, 0, 0
+            for lo, hi in ranges(starts, n, max(0, len(shingles) - width)):
+                similar = overlaps(items.shingles[item], shingles[lo : hi + width], width)
+                count += int((similar >= least).sum())
+                if similar.max() > best:
+                    best, at = float(similar.max()), lo + int(similar.argmax())
+            if count:
+                good.append((item, best, at, count))
+        if good:
+            out[text] = good
     return out
 
 
 def _passes(benchmark: DataFrame, size: int):
-    """Items in id order, at most `size` at a time on the driver."""
-    ids, texts = [], []
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
+    """Items in id order, at most `size` of them and about PASS_BYTES at a time on the driver."""
+    ids, texts, used = [], [], 0
+    rows = benchmark.select("item_id", "text").where("text is not null").distinct()
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
-        if len(ids) == size:
+        used += len(row[1])
+        if len(ids) == size or used >= PASS_BYTES:
             yield ids, texts
-            ids, texts = [], []
+            ids, texts, used = [], [], 0
     if ids:
         yield ids, texts
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = 0.8, items_a_pass: int = ITEMS_A_PASS, key: str = "doc_id") -> DataFrame:
     """key, item_id, similarity, at_word, n_windows: one row for each text and each item it holds."""
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id long, similarity double, at_word long, n_windows long"
-    out = None
-    for ids, texts in _passes(benchmark, items_a_pass):
+    kind = benchmark.schema["item_id"].dataType
+    names = [("item_id", kind), ("similarity", T.DoubleType()), ("at_word", T.LongType()), ("n_windows", T.LongType())]
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + [T.StructField(n, k) for n, k in names])
+    arrow = [to_arrow_type(k) for _, k in names]
 
-        def run(batches, ids=ids, texts=texts):
+    def matches(ids, texts):
+        def run(batches):
             items = Items(ids, texts)
             for batch in text_chunks(batches, limit=1 << 20):
                 at, rows = [], []
                 for i, got in sorted(hits(items, batch.column(1).to_pylist(), radius, least).items()):
                     at += [i] * len(got)
-                    rows += got
-                table = pd.DataFrame(rows, columns=["i", "s", "p", "n"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array([ids[i] for i in table.i], pa.int64()), pa.array(table.s, pa.float64()), pa.array(table.p.astype("int64")), pa.array(table.n.astype("int64"))], [key, "item_id", "similarity", "at_word", "n_windows"])
+                    rows += [(ids[x[0]], *x[1:]) for x in got]
+                columns = zip(*rows, strict=True) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, k) for c, k in zip(columns, arrow, strict=True)]], schema.names)
+
+        return docs.select(key, "text").mapInArrow(run, schema)
 
-        part = docs.select(key, "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    out, waiting = None, None
+    for own in _passes(benchmark, items_a_pass):
+        if waiting:
+            part = stored(matches(*waiting), "matches")
+            out = part if out is None else out.unionByName(part)
+        waiting = own
+    if not waiting:
+        return docs.sparkSession.createDataFrame([], schema)
+    last = matches(*waiting)
+    return last if out is None else out.unionByName(last)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = 0.8, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """The rows that hold no item, all columns; each pass filters what the one before kept."""
-    for ids, texts in _passes(benchmark, items_a_pass):
+    waiting = None
+    for own in _passes(benchmark, items_a_pass):
+        if waiting:
+            docs = stored(_without(docs, *waiting, radius, least), "clean")
+        waiting = own
+    return _without(docs, *waiting, radius, least) if waiting else docs
 
-        def make(ids=ids, texts=texts):
-            items = Items(ids, texts)
 
-            def judge(own: list[str]) -> list[bool]:
-                found = hits(items, own, radius, least)
-                return [i not in found for i in range(len(own))]
+def _without(docs: DataFrame, ids: list, texts: list[str], radius: int, least: float) -> DataFrame:
+    def make():
+        items = Items(ids, texts)
+
+        def judge(own: list[str]) -> list[bool]:
+            found = hits(items, own, radius, least)
+            return [i not in found for i in range(len(own))]
 
-            return judge
+        return judge
 
-        docs = filter_texts(docs, make, 1 << 20)
-    return docs
+    return filter_texts(docs, make, 1 << 20)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from axialis.llm import decontaminate, media, mixing, near_dedup, pii, quality, queries, suffix_dedup, token_count, token_files, tokenizing, toxicity
 
@@ -41,6 +42,16 @@ def labels(spark, ids=(), toxic=()):
     return spark.createDataFrame([(i, 1, int(i in toxic)) for i in ids], "doc_id long, quality int, toxic int")
 
 
+def likeness(a, b):
+    """Weighted Jaccard similarity of two counts."""
+    low = sum((a & b).values())
+    return low / (sum(a.values()) + sum(b.values()) - low)
+
+
+def shingles_of(words):
+    return [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
+
+
 def brute_repeats(texts, length=200):
     seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
@@ -154,6 +165,8 @@ def test_decontamination(spark, sf_dir, edge, none):
         got = decontaminate.contamination(df, bench, items_a_pass=size)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
         assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench, items_a_pass=size).collect()) == [2, 6]
+    named = decontaminate.contamination(df, bench.withColumn("item_id", F.concat(F.lit("i"), "item_id"))).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in named} == {(d, f"i{i}") for d, i in want}
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(df, bench.where("false")).count() == 0
     kept = decontaminate.drop_contaminated(edge, bench)
     assert kept.columns == edge.columns and kept.count() == edge.count()
@@ -175,38 +188,70 @@ def test_overlaps_of_all_windows():
     rng = np.random.default_rng(3)
     for n, width in ((60, 9), (7, 9), (9, 9), (200, 40)):
         item, text = np.sort(rng.integers(0, 12, width)).astype(np.uint64), rng.integers(0, 15, n).astype(np.uint64)
-        want = [decontaminate.overlap(item, np.sort(text[k : k + width])) for k in range(max(1, n - width + 1))]
+        bags = [Counter(text[k : k + width].tolist()) for k in range(max(1, n - width + 1))]
+        want = [likeness(Counter(item.tolist()), bag) for bag in bags]
         assert decontaminate.overlaps(item, text, width).tolist() == pytest.approx(want)
 
 
 def changed_copy(words, kind, rng):
+    """A copy with changes of one kind, about as many as a similarity of 0.8 bears."""
     n, w = len(words), list(words)
-    most = (n - 4) // 9 - 6
     new = [f"new{rng.randrange(10**9)}" for _ in range(n)]
-    if kind == "opening":
-        w[:most] = new[:most]
-    elif kind == "middle":
-        w[n // 2 - most // 2 : n // 2 - most // 2 + most] = new[:most]
-    elif kind == "singles":
-        for k in rng.sample(range(n), most // 6):
+    edge, inner = rng.randint(0, max(1, n // 8)), rng.randint(0, max(1, n // 40))
+    if kind in ("opening", "both ends"):
+        w[:edge] = new[:edge]
+    if kind in ("ending", "both ends"):
+        w[n - edge :] = new[n - edge :]
+    if kind == "cut ends":
+        w = w[edge : n - rng.randint(0, max(1, n // 10))]
+    if kind == "middle":
+        w[n // 2 : n // 2 + edge] = new[n // 2 : n // 2 + edge]
+    if kind == "singles":
+        for k in rng.sample(range(n), inner):
             w[k] = new[k]
-    elif kind == "inserted":
-        w[20:20] = new[: most // 2]
-    elif kind == "deleted":
-        del w[20 : 20 + most // 2]
+    if kind == "inserted":
+        for k in range(inner):
+            w.insert(rng.randrange(len(w)), new[k])
+    if kind == "deleted":
+        for k in range(inner):
+            del w[rng.randrange(len(w))]
+    if kind == "moved":
+        k = rng.randrange(n)
+        w = w[k:] + w[:k] if n > 40 and rng.random() < 0.5 else w
     return w
 
 
-def test_long_items_are_found_by_any_part():
-    rng = random.Random(4)
-    for n in (150, 300, 500, 1000):
-        texts = [prose(n, 1000 * n + k) for k in range(10)]
-        items = decontaminate.Items(list(range(10)), texts)
-        for kind in ("none", "opening", "middle", "singles", "inserted", "deleted"):
-            held = [prose(rng.randrange(60), k) + " " + " ".join(changed_copy(t.split(), kind, rng)) + " " + prose(150, 77) for k, t in enumerate(texts)]
+KINDS = ("none", "opening", "ending", "both ends", "cut ends", "middle", "singles", "inserted", "deleted", "moved")
+
+
+def test_items_are_found_by_any_part():
+    """Every copy with a window of similarity 0.8 by brute force is found, and nothing else; by place of the change."""
+    rng, found, due = random.Random(4), Counter(), Counter()
+    for n in (*range(5, 24), 28, 33, 39, 40, 41, 57, 63, 76, 99, 112, 131, 132, 150, 300, 600, 1000, 1500):
+        texts = [prose(n, 1000 * n + k) for k in range(2)]
+        items = decontaminate.Items([0, 1], texts)
+        for kind in KINDS:
+            held = []
+            for k in range(12 if n < 200 else 4):
+                alone = rng.random() < 0.3
+                copy = changed_copy(texts[k % 2].split(), kind, rng)
+                held.append(" ".join(copy if alone else prose(rng.randrange(60), k).split() + copy + prose(rng.randrange(150), 77).split()))
             got = decontaminate.hits(items, held, decontaminate.RADIUS, 0.8)
-            found = sum(any(x[0] == k for x in got.get(k, [])) for k in range(10))
-            assert found >= 9, (n, kind)
+            for k, t in enumerate(held):
+                own, text = Counter(shingles_of(texts[k % 2].split())), shingles_of(t.split())
+                width = max(1, n - 4)
+                best = max(likeness(own, Counter(text[a : a + width])) for a in range(max(1, len(text) - width + 1))) if t else 0.0
+                hit = [x for x in got.get(k, []) if x[0] == k % 2]
+                assert not hit or hit[0][1] == pytest.approx(best)
+                due[kind] += best >= 0.8
+                found[kind] += bool(hit)
+    assert found == due and min(due.values()) > 100, (found, due)
+
+
+def test_windows_of_items():
+    for n in range(5, 400):
+        for stride, size, first in decontaminate.item_windows(n):
+            assert size % stride == 0 and 0 <= first and first + size + stride - 1 <= n
 
 
 def test_token_counts(spark, edge, none):
