@@ -15,7 +15,13 @@ ends still open have a common prefix of at least that. The search begins with th
 which the first sorting step already has.
 
 An anchor with more than HOT distinct spans (a very common passage in changing surroundings) would make one block
-too large; its windows are counted by 128-bit fingerprints instead, with partial counts before the shuffle.
+too large. Its spans are cut anew at a second, narrower anchor: windows whose k-mer lies at one of `width` neighbouring offsets
+hold the same core of length + 1 - width bytes around it, so pieces of those windows are grouped by offset and core, and
+equal windows still meet. Groups that are too large again are cut by the next of WIDTHS; at a width of 1 a group has
+one distinct window, so every group ends in a block or as copies of one piece.
+
+Rows of the most common keys (over a thousandth of all rows, so at most a thousand keys) go by broadcast of
+those keys, not by a shuffle to one task.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all; a text of at least `length` bytes that
 occurs twice loses all its bytes (it is searched once, as one text); very long texts are anchored in overlapping
@@ -33,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, text_chunks
+from .common import byte_chunks, discard, mix64, salted_join, stored, text_chunks
 
 LENGTH = 200
 KMER = 40
 HOT = 1500
+WIDTHS = (40, 8, 1)
+TOP = 1000
 BLOCK = 1 << 19
 PIECE = 1 << 20
 TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -236,12 +244,28 @@ def _search(batches):
         yield done(block)
 
 
-def _windows(batches):
-    for batch in batches:
-        for sp, span, mult in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            n = len(span) - LENGTH + 1
-            w = [hashlib.md5(span[i : i + LENGTH]).digest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([sp] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([mult] * n, pa.int64())], ["w", "sp", "off", "mult"])
+def _cut(width: int):
+    """Pieces of spans, of the windows whose anchor lies at one of `width` neighbouring offsets."""
+
+    def pieces(root, i0, h, span, mult):
+        p = int(np.argmin(kmer_hashes(np.frombuffer(span, np.uint8)) >> np.uint64(32)))
+        n, at = len(span) - LENGTH + 1, 0
+        while at < n:
+            band = (p - at) // width
+            to = min(n, p - band * width + 1)
+            core = span[p - band * width : p - band * width - width + 1 + LENGTH]
+            key = hashlib.md5(b"%d:%d:" % (h, band) + core).digest()[:8]
+            piece = span[at : to - 1 + LENGTH]
+            yield root, i0 + at, int.from_bytes(key, "little", signed=True), hashlib.md5(piece).digest(), piece, mult
+            at = to
+
+    def run(batches):
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        for batch in byte_chunks(batches, (3,)):
+            out = [x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in pieces(*row)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["root", "i0", "h", "sp", "span", "mult"])
+
+    return run
 
 
 def _apply(batches):
@@ -266,23 +290,48 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["uid", "n_removed", "n_spans", "kept_sha256"])
 
 
-def hot_masks(hot: DataFrame) -> DataFrame:
-    """sp, mask of spans (sp, span, mult) by counting the fingerprints of their windows."""
-    w = stored(hot.select("sp", "span", "mult").mapInArrow(_windows, "w binary, sp binary, off int, mult long"), "windows")
-    twice = w.groupBy("w").agg(F.sum("mult").alias("k")).where("k > 1").select("w")
-    offs = w.join(twice, "w").groupBy("sp").agg(F.collect_set("off").alias("offs"), F.max("off").alias("most"))
-    offs = offs.join(hot.select("sp", F.octet_length("span").alias("size")), "sp")
-
-    def pack(batches):
-        for batch in batches:
-            masks = []
-            for own, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                m = np.zeros(size - LENGTH + 1, bool)
-                m[own] = True
-                masks.append(np.packbits(m).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.binary())], ["sp", "mask"])
-
-    return offs.select("sp", "offs", "size").mapInArrow(pack, "sp binary, mask binary")
+def searched(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """From distinct spans (sp, h, span, mult): sp and mask (null: all) of those with shared windows, and the spans of
+    the groups h with more than `hot` spans, which are left out."""
+    per = stored(distinct.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "groups")
+    limit = max(hot, TOP, distinct.count() // TOP)
+    top = F.broadcast(per.where(F.col("k") > limit).select("h"))
+    rest = distinct.join(top, "h", "left_anti")
+    blocks = rest.select("h", "sp", "span").join(per.where(F.col("k") <= hot).select("h"), "h")
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    found = blocks.repartition(n, "h").sortWithinPartitions("h", "sp").mapInArrow(_search, "sp binary, mask binary")
+    whole = distinct.where("mult > 1").select("sp", F.lit(None).cast("binary").alias("mask"))
+    masks = stored(found.join(whole.select("sp"), "sp", "left_anti").unionByName(whole), "masks")
+    large = None
+    if per.where(F.col("k") > hot).limit(1).count():
+        middle = per.where((F.col("k") > hot) & (F.col("k") <= limit)).select("h")
+        large = distinct.join(top, "h", "left_semi").unionByName(rest.join(middle, "h", "left_semi"))
+        large = stored(large, "large")
+    discard(per)
+    return masks, large
+
+
+def span_masks(distinct: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """sp, i0, n, mask: which of the n windows of a span from i0 on also start elsewhere (null: all); and the stored
+    frames that this reads."""
+    size = (F.octet_length("span") - LENGTH + 1).alias("n")
+    masks, large = searched(distinct, hot)
+    used = [masks]
+    out = masks.join(distinct.select("sp", size), "sp").select("sp", F.lit(0).alias("i0"), "n", "mask")
+    rows = large.select(F.col("sp").alias("root"), F.lit(0).alias("i0"), "h", "span", "mult") if large else None
+    for width in WIDTHS:
+        if rows is None:
+            break
+        pieces = stored(rows.select("root", "i0", "h", "span", "mult").mapInArrow(_cut(width), "root binary, i0 int, h long, sp binary, span binary, mult long"), "pieces")
+        same = stored(pieces.groupBy("sp").agg(F.first("h").alias("h"), F.first("span").alias("span"), F.sum("mult").alias("mult")), "distinct")
+        if large:
+            discard(large)
+        masks, large = searched(same, hot)
+        used += [masks, pieces, same]
+        named = pieces.select("root", "i0", "sp", size)
+        out = out.unionByName(salted_join(named, masks, "sp", "root").select(F.col("root").alias("sp"), "i0", "n", "mask"))
+        rows = salted_join(pieces.select("root", "i0", "sp", "mult"), large.select("sp", "h", "span"), "sp", "root") if large else None
+    return out, used
 
 
 def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -293,27 +342,31 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     uniq = stored(uniq.withColumn("uid", F.monotonically_increasing_id()), "texts")
     long = uniq.where(F.octet_length("text") >= LENGTH)
     anchors = stored(long.select("uid", "text").mapInArrow(_anchors, "h long, uid long, start long, n int"), "anchors")
-    again = anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    found = anchors.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
+    again = stored(anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "again")
+    limit = max(TOP, anchors.count() // TOP)
+    top = F.broadcast(again.where(F.col("k") > limit).select("h"))
+    shared = anchors.join(top, "h", "left_semi").unionByName(anchors.join(top, "h", "left_anti").join(again.where(F.col("k") <= limit).select("h"), "h"))
+    found = shared.groupBy("uid").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
     spans = long.select("uid", "text").join(found, "uid").select("uid", "text", "runs")
     spans = stored(spans.mapInArrow(_spans, "h long, sp binary, span binary, uid long, start long, n int"), "spans")
+    discard(anchors, again)
     distinct = spans.groupBy("sp").agg(F.first("h").alias("h"), F.first("span").alias("span"), F.count("*").alias("mult"))
     distinct = stored(distinct, "distinct")
-    per = distinct.groupBy("h").agg(F.count("*").alias("k"))
-    many = stored(per.where(F.col("k") > hot).select("h"), "hot")
-    pairs = per.where((F.col("k") > 1) & (F.col("k") <= hot)).select("h")
-    blocks = distinct.select("h", "sp", "span").join(pairs, "h")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    masks = blocks.repartition(n, "h").sortWithinPartitions("h", "sp").mapInArrow(_search, "sp binary, mask binary")
-    masks = masks.unionByName(hot_masks(distinct.join(many, "h", "left_semi")))
-    whole = distinct.where("mult > 1").select("sp", F.lit(None).cast("binary").alias("mask"))
-    masks = stored(masks.join(whole.select("sp"), "sp", "left_anti").unionByName(whole), "masks")
-    marks = spans.select("sp", "uid", "start", "n").join(masks, "sp").groupBy("uid").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
+    masks, used = span_masks(distinct, hot)
+    # spans of the most copies are whole: they don't need the join
+    limit = max(TOP, spans.count() // TOP)
+    top = F.broadcast(distinct.where(F.col("mult") > limit).select("sp"))
+    slim = spans.select("sp", "uid", "start", "n")
+    whole = slim.join(top, "sp", "left_semi").select("uid", "start", "n", F.lit(None).cast("binary").alias("mask"))
+    part = slim.drop("n").join(top, "sp", "left_anti").join(masks, "sp").select("uid", (F.col("start") + F.col("i0")).alias("start"), "n", "mask")
+    marks = part.unionByName(whole).groupBy("uid").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
     once = long.where("m = 1").select("uid", "text")
     cut = once.join(marks, "uid").select("uid", "text", "marks").mapInArrow(_apply, "uid long, n_removed long, n_spans long, kept_sha256 string")
+    cut = stored(cut, "cut")
+    discard(spans, distinct, *used)
     size = F.octet_length("text").cast("long")
     copied = (F.col("m") > 1) & (size >= LENGTH)
     kept = F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256))
     plain = uniq.select("uid", "th", size.alias("n_bytes"), F.when(copied, size).otherwise(F.lit(0)).alias("all_gone"), copied.cast("long").alias("one_span"), kept.alias("kept"))
     out = plain.join(cut, "uid", "left").select("th", "n_bytes", F.coalesce("n_removed", "all_gone").cast("long").alias("n_removed"), F.coalesce("n_spans", "one_span").cast("long").alias("n_spans"), F.coalesce("kept_sha256", "kept").alias("kept_sha256"))
-    return keyed.select("doc_id", "th").join(out, "th").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return salted_join(keyed.select("doc_id", "th"), out, "th", "doc_id").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

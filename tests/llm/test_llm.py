@@ -78,17 +78,18 @@ def test_shared_suffixes():
         assert suffix_dedup.shared_suffixes(s, least).tolist() == want
 
 
-@pytest.mark.parametrize("hot", [1500, 1])
-def test_repeated_bytes(spark, edge, none, hot):
-    df = edge.where("doc_id is null or doc_id <> 6")
+@pytest.mark.parametrize("hot", [1500, 5, 1])
+def test_repeated_bytes(spark, edge, none, hot, monkeypatch):
+    if hot < 1500:
+        monkeypatch.setattr(suffix_dedup, "TOP", 10)
     passage = prose(80, 9)
-    more = [(100 + k, prose(20, 50 + k) + passage[k:] + prose(20, 90 + k)) for k in range(8)] + [(120, passage + passage)]
-    df = df.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    more = [(100 + k, prose(20, 50 + k) + passage[k % 8 :] + prose(20, 90 + k)) for k in range(24)] + [(130, passage + passage)]
+    df = edge.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     rows = texts_of(df)
     want = sorted(((i or 0), *x) for (i, _), x in zip(rows, brute_repeats([t.encode() for _, t in rows]), strict=True))
     got = suffix_dedup.repeated_bytes(df, hot).collect()
     assert sorted(((r["doc_id"] or 0), *r[1:]) for r in got) == want
-    if hot > 1:
+    if hot > 5:
         assert suffix_dedup.repeated_bytes(none).count() == 0
 
 
