@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, media, mixing, near_dedup, pii, quality, suffix_dedup, token_count, token_files, toxicity
 from .common import documents
@@ -23,7 +24,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(documents(spark, sf_dir))
+    """Copies are at most two, as targets are at most twice a source's size."""
+    out = mixing.mix_report(documents(spark, sf_dir))
+    times = [F.round(F.try_element_at("positions", F.lit(k)), 7).alias(name) for k, name in ((1, "position"), (2, "position_2"))]
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "copies", *times)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
