@@ -60,16 +60,27 @@ def discard(*frames: DataFrame) -> None:
         remove(df.sparkSession, _PATHS[id(df)])
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
-    """Inner join of rows with `one`, which has a row a key, so that a key of most rows isn't one task's.
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join (inner or left) of rows with `one`, which has a row a key, so that a key of most rows isn't one task's.
 
     The distinct (key, salt) of the rows are joined first, at most `salts` a key, then the rows by both; the salt is
     a hash of the column `spread`."""
     rows = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    dealt = rows.select(key, "__salt").distinct().join(one, key)
+    dealt = rows.select(key, "__salt").distinct().join(one, key, how)
     return rows.join(dealt, [key, "__salt"]).drop("__salt")
 
 
+def top_keys(counts: DataFrame, key: str, number: str, total: int, share: int = 1000) -> DataFrame:
+    """The keys of over a thousandth of all rows (and 1,000 rows): at most a thousand keys, by the sum of their numbers."""
+    return F.broadcast(counts.where(F.col(number) > max(share, total // share)).select(key))
+
+
+def skew_join(many: DataFrame, one: DataFrame, key: str, top: DataFrame) -> DataFrame:
+    """Inner join of rows with `one`, which has a row a key; the rows of `top` keys are joined by broadcast."""
+    rest = many.join(top, key, "left_anti").join(one, key)
+    return many.join(F.broadcast(one.join(top, key, "left_semi")), key).unionByName(rest)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are sent to Python workers in batches of at most so many rows; the default of 10,000 is too much for long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

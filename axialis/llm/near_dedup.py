@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_hashes, stored, text_chunks, word_hashes
+from .common import byte_chunks, discard, mix64, salted_join, shingle_hashes, skew_join, stored, text_chunks, top_keys, word_hashes
 
 BANDS = 25
 ROWS = 4
@@ -103,26 +103,24 @@ def _sign(batches):
 
 
 def _verify(batches):
-    for batch in batches:
-        for part in range(0, batch.num_rows, 2000):
-            own = batch.slice(part, 2000)
-            texts = own.column(2).to_pylist() + own.column(3).to_pylist()
-            distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-            words, bounds = word_hashes([t or "" for t in distinct])
-            shingles, ends = shingle_hashes(words, bounds, SHINGLE)
-            s, t, w = weighted(shingles, ends)
-            at = np.searchsorted(t, np.arange(len(distinct) + 1))
-            bag = [(s[a:b], w[a:b]) for a, b in zip(at, at[1:], strict=False)]
-            n = own.num_rows
-            good = [similarity(bag[distinct[texts[i]]], bag[distinct[texts[n + i]]]) >= LEAST for i in range(n)]
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+    for own in byte_chunks(batches, (2, 3), 2 << 20):
+        texts = own.column(2).to_pylist() + own.column(3).to_pylist()
+        distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        words, bounds = word_hashes([t or "" for t in distinct])
+        shingles, ends = shingle_hashes(words, bounds, SHINGLE)
+        s, t, w = weighted(shingles, ends)
+        at = np.searchsorted(t, np.arange(len(distinct) + 1))
+        bag = [(s[a:b], w[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        n = own.num_rows
+        found = [similarity(bag[distinct[texts[i]]], bag[distinct[texts[n + i]]]) for i in range(n)]
+        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, linked of distinct pairs (a, b); `texts` has th and text."""
+    """a, b, similarity of distinct pairs (a, b); `texts` has th and text. Any text may be in most pairs as b."""
     one = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, linked boolean")
+    two = salted_join(one, texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b", "a")
+    return two.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, similarity double")
 
 
 def _tokens(batches):
@@ -146,78 +144,104 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     ones of sizes p and q are similar enough if 9 o >= 4 (p + q)."""
     own = texts.join(rest, "th", "left_semi").select("th", "text")
     tokens = stored(own.mapInArrow(_tokens, "th binary, n int, token long"), "tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    known = tokens.join(often, "token").groupBy("th").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    often = stored(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    known = skew_join(tokens, often, "token", top_keys(often, "token", "f", tokens.count()))
+    known = known.groupBy("th").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
     known = known.where("5 * size(t) >= 4 * n")
     placed = known.select("th", "n", F.posexplode("t").alias("i", "x"), (F.col("n") - F.size("t")).alias("alone"))
     placed = placed.select("th", "n", F.col("x.token").alias("token"), (F.col("i") + F.col("alone")).alias("pos")).where("5 * (n - pos) >= 4 * n")
     placed = stored(placed.join(rest, "th"), "prefixes")
+    discard(tokens, often)
     p, q = placed.alias("p"), placed.alias("q")
     both = p.join(q, F.expr("p.token = q.token and p.component < q.component and 9 * least(p.n - p.pos, q.n - q.pos) >= 4 * (p.n + q.n)"))
-    return both.select(F.col("p.th").alias("a"), F.col("q.th").alias("b")).distinct()
+    pairs = stored(both.select(F.col("p.th").alias("a"), F.col("q.th").alias("b")).distinct(), "pairs")
+    discard(placed)
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
     """th, component of every text in a link: the least th of its component. Links are (a, b).
 
     Each round takes the least label among a text's neighbours, gives it to the text's parent too (hooking), and
-    jumps over the parent. Labels only fall, and a round without a change leaves one label a component."""
+    jumps over the parent. Labels only fall, and a round without a change leaves one label a component. A text of
+    most links and a component of most texts are spread by salts."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     label = stored(edges.groupBy(F.col("a").alias("th")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        far = edges.join(label.select(F.col("th").alias("b"), "component"), "b").groupBy(F.col("a").alias("th")).agg(F.min("component").alias("far"))
+        far = salted_join(edges, label.select(F.col("th").alias("b"), "component"), "b", "a").groupBy(F.col("a").alias("th")).agg(F.min("component").alias("far"))
         step = stored(label.join(far, "th").select("th", F.col("component").alias("was"), F.least("component", "far").alias("low")), "steps")
         hooks = step.groupBy(F.col("was").alias("th")).agg(F.min("low").alias("hook"))
         hooked = stored(step.join(hooks, "th", "left").select("th", "was", F.least("low", "hook").alias("component")), "hooked")
         roots = hooked.select(F.col("th").alias("component"), F.col("component").alias("root"))
-        new = stored(hooked.join(roots, "component").select("th", F.least("component", "root").alias("component"), "was"), "labels")
-        label = new.select("th", "component")
+        new = stored(salted_join(hooked, roots, "component", "th").select("th", F.least("component", "root").alias("component"), "was"), "labels")
+        discard(label, step, hooked)
+        label = new
         if not new.where("component <> was").limit(1).count():
+            discard(edges)
             return label
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """th and component of each distinct text (component: the least th of those it is linked to)."""
+    """th, component (the least th of those it is linked to), n_links and best of each distinct text."""
     rows = docs.select(text_key().alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = rows.mapInArrow(_sign, "th binary, bands array<long>").groupBy("th").agg(F.first("bands").alias("bands"))
     signed = stored(signed, "signed")
     spread = signed.select("th", F.explode("bands").alias("key"))
-    sizes = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(spread.join(sizes, "key"), "shared")
+    sizes = stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    top = top_keys(sizes, "key", "n", BANDS * signed.count())
+    members = stored(skew_join(spread, sizes, "key", top), "shared")
     # a bucket's head is its most central text, whose buckets hold the most texts: changed copies lie around it
     central = members.groupBy("th").agg(F.sum("n").alias("weight"))
-    members = members.join(central, "th").select("key", "th", "weight")
-    heads = members.groupBy("key").agg(F.max(F.struct("weight", "th")).alias("m")).select("key", F.col("m.th").alias("head"))
-    members = stored(members.join(heads, "key").select("key", "th", "head"), "members")
-    wanted = members.select("th").distinct()
+    ranked = members.join(central, "th").select("key", "th", "weight")
+    heads = stored(ranked.groupBy("key").agg(F.max(F.struct("weight", "th")).alias("m")).select("key", F.col("m.th").alias("head")), "heads")
+    near = stored(skew_join(members.select("key", "th"), heads, "key", top), "members")
+    discard(members, heads)
+    wanted = near.select("th").distinct()
     texts = rows.join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     texts = stored(texts, "texts")
-    tried = stored(verified(members.where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b")).distinct(), texts), "tried")
-    label = components(tried.where("linked"))
-    named = members.join(label, "th", "left").select("key", "th", F.coalesce("component", "th").alias("component"))
+    tried = stored(verified(near.where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b")).distinct(), texts).where(F.col("similarity") >= LEAST), "links")
+    label = components(tried)
+    named = near.join(label, "th", "left").select("key", "th", F.coalesce("component", "th").alias("component"))
     named = stored(named, "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = stored(named.join(mixed, "key").select("th", "component").distinct(), "rest")
-    more = stored(verified(prefix_pairs(rest, texts), texts), "tried")
-    links = tried.where("linked").select("a", "b")
-    if more.where("linked").limit(1).count():
-        label = components(links.unionByName(more.where("linked").select("a", "b")))
-    every = signed.select("th").join(label, "th", "left")
-    return every.select("th", F.coalesce("component", "th").alias("component"))
+    mixed = stored(mixed, "mixed")
+    rest = stored(skew_join(named, mixed, "key", top).select("th", "component").distinct(), "rest")
+    discard(near, named, mixed, sizes)
+    pairs = prefix_pairs(rest, texts)
+    more = stored(verified(pairs, texts).where(F.col("similarity") >= LEAST), "links")
+    every = signed.select("th").join(label, "th", "left").select("th", F.coalesce("component", "th").alias("component"))
+    if more.limit(1).count():
+        # components of the first links are single texts now, and the further links are between them
+        own = rest.select(F.col("th").alias("a"), F.col("component").alias("ca"))
+        other = rest.select(F.col("th").alias("b"), F.col("component").alias("cb"))
+        joined = components(more.join(own, "a").join(other, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = joined.select(F.col("th").alias("component"), F.col("component").alias("least"))
+        every = salted_join(every, joined, "component", "th", "left").select("th", F.coalesce("least", "component").alias("component"))
+    discard(pairs, rest, texts)
+    links = tried.unionByName(more)
+    sides = links.select(F.col("a").alias("th"), "similarity").unionByName(links.select(F.col("b").alias("th"), "similarity"))
+    sides = sides.groupBy("th").agg(F.count("*").alias("n_links"), F.max("similarity").alias("best"))
+    out = stored(every.join(sides, "th", "left").select("th", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best"), "classes")
+    discard(signed, label, tried, more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, text_id (its exact class), class_id (its near-duplicate class) of each row, ids of classes as hex."""
-    classes = near_classes(docs, **how)
+    """doc_id, text_id (its exact class), class_id (its near-duplicate class), n_links, best of each row, ids as hex.
+
+    n_links counts the verified links by which the text was put into its class (links to other texts of a class that
+    no bucket or prefix had to be tried for aren't counted), best is the greatest similarity of one."""
     rows = docs.select("doc_id", text_key().alias("th"))
-    return rows.join(classes, "th").select("doc_id", F.lower(F.hex("th")).alias("text_id"), F.lower(F.hex("component")).alias("class_id"))
+    named = salted_join(rows, near_classes(docs, **how), "th", "doc_id")
+    return named.select("doc_id", F.lower(F.hex("th")).alias("text_id"), F.lower(F.hex("component")).alias("class_id"), "n_links", F.round("best", 6).alias("best"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of each near-duplicate class, all columns: the least doc_id, then the least text, one of equal rows."""
     classes = near_classes(docs, **how)
-    keyed = docs.withColumn("__th", text_key()).withColumn("__id", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__th").alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")))
-    named = keyed.select("__id", F.col("__th").alias("th")).join(classes, "th")
-    chosen = named.groupBy("component").agg(F.min("__id").alias("__id")).select("__id")
-    kept = keyed.join(chosen, "__id", "left_semi")
-    return kept.dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), text_key().alias("t"), F.xxhash64(*columns).alias("h"))
+    keyed = docs.select(F.struct(*columns).alias("row"), order.alias("id"))
+    named = salted_join(keyed.select("id", F.col("id.t").alias("th")), classes, "th", "id")
+    chosen = named.groupBy("component").agg(F.min("id").alias("id")).select("id")
+    return keyed.dropDuplicates(["id"]).join(chosen, "id", "left_semi").select("row.*")

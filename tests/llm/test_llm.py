@@ -317,7 +317,7 @@ def components_by_hand(rows):
 def test_near_duplicates(spark, edge, none):
     rng = random.Random(8)
     base = prose(150, 40).split()
-    rows = texts_of(edge.where("doc_id <> 6 or doc_id is null"))
+    rows = texts_of(edge)
     for k in range(60):  # a group of changed copies, some too far from all others
         w = list(base)
         for _ in range(rng.randint(0, 8)):
@@ -334,6 +334,8 @@ def test_near_duplicates(spark, edge, none):
     for t, c in want.items():
         by_hand[c].add(t)
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, by_hand.values()))
+    alone = {r["text_id"]: len(classes[r["class_id"]]) == 1 for r in got}
+    assert all((r["n_links"] == 0) == alone[r["text_id"]] == (r["best"] is None) and (r["best"] or 1) >= 0.8 for r in got)
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.keep_one(edge)
     assert kept.columns == edge.columns and kept.count() == len(set(components_by_hand(texts_of(edge)).values()))
