@@ -6,10 +6,11 @@ last have the same number of sequences, so sequence k is in batch k // ROWS, fou
 and read by memory map without a copy. Ids fit 16 bits, which is checked against the vocabulary. A second Arrow
 file beside it has each document's id, first place and number of ids in that file.
 
-Documents are range-partitioned and sorted by doc_id; one task writes one pair of files under its partition
-number, first under a name of its own, then renamed, so a task that runs again leaves the same files. Defined
-cases: a null text is an empty document (its end id only); null ids come first; rows with equal doc_id are
-ordered by text; an empty table gives no rows.
+Documents are range-partitioned and sorted by doc_id (or by other columns, such as a training order); one task
+writes one pair of files under its partition number, first under a name of its own, then renamed, so a task that
+runs again leaves the same files. The list of files is a table in the shared folder; a file's first place in all ids
+is a two-level cumulative sum over it. Defined cases: a null text is an empty document (its end id only); null ids
+come first; rows with equal doc_id are ordered by the MD5 of their text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_chunks
+from .common import shared_folder, stored, text_chunks
 from .tokenizing import BYTE_SPLIT, NOT_PLAIN, Memo, as_bytes, by_model, kept_in_process, load, special
 
 LENGTH = 2048
 ROWS = 256
 BYTES_A_FILE = 32 << 20
+FILES_A_GROUP = 1000
 
 
 def place(folder: str):
@@ -97,10 +99,11 @@ class Sequences:
         self.writer.close()
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, length: int = LENGTH) -> DataFrame:
-    """Writes the files; returns file, n_docs, n_ids of each, in the documents' order."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, length: int = LENGTH, order: list[Column] | None = None) -> DataFrame:
+    """Writes the files; returns file, n_docs, n_ids of each, in the documents' order: that of `order`, else of doc_id."""
+    by = order or [F.col("doc_id").cast("long"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"by{i}") for i, c in enumerate(by)])
+    by = [f"by{i}" for i in range(len(by))]
     n = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-n // BYTES_A_FILE))
 
@@ -130,9 +133,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, length:
         where.move(own, f"{top}/{name}.arrow")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(starts)], pa.int64()), pa.array([at], pa.int64())], ["file", "n_docs", "n_ids"])
 
-    dealt = slim.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(run, "file string, n_docs long, n_ids long").toPandas().sort_values("file")
-    return spark.createDataFrame(rows.reset_index(drop=True), "file string, n_docs long, n_ids long")
+    dealt = slim.repartitionByRange(files, *by).sortWithinPartitions(*by).select("doc_id", "text")
+    return stored(dealt.mapInArrow(run, "file string, n_docs long, n_ids long"), "files")
 
 
 def open_tokens(folder: str, name: str):
@@ -176,12 +178,17 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{name} ends early")
                 yield pa.RecordBatch.from_arrays([index["doc_id"].combine_chunks(), pa.array(starts + base), pa.array(counts), pa.array(sums), pa.array([name] * len(starts))], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    based = files.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    number = F.regexp_extract("file", "([0-9]+)$", 1).cast("long")
+    grouped = files.withColumn("group", F.floor(number / FILES_A_GROUP))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("group").agg(F.sum("n_ids").alias("n_ids"))
+    groups = groups.select("group", before(Window.orderBy("group")).alias("first"))
+    based = grouped.withColumn("inside", before(Window.partitionBy("group").orderBy(number))).join(groups, "group")
+    based = based.select("file", (F.col("first") + F.col("inside")).alias("base"))
     n = max(1, files.count())
     return based.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
-def tokens_round_trip(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
+def tokens_round_trip(docs: DataFrame, path: str, end: int = 2, order: list[Column] | None = None) -> DataFrame:
     folder = shared_folder(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, folder, path, end), folder)
+    return read_tokens(write_tokens(docs, folder, path, end, order=order), folder)

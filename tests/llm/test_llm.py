@@ -272,7 +272,7 @@ def test_token_counts(spark, edge, none):
 def test_token_files(spark, edge, none, tmp_path):
     path = queries._tokenizer("byte_bpe_50k.json")
     tok = tokenizing.load(path)
-    own = sorted(texts_of(edge), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    own = sorted(texts_of(edge), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()))
     ids = [[*tok.encode(t, add_special_tokens=False).ids, 2] for _, t in own]
     starts = np.cumsum([0, *map(len, ids)]).tolist()
     want = [(i, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), s, x in zip(own, starts, ids, strict=False)]
@@ -285,6 +285,19 @@ def test_token_files(spark, edge, none, tmp_path):
     assert token_files.tokens_round_trip(none, path).count() == 0
 
 
+def test_token_files_in_another_order(spark, tmp_path, monkeypatch):
+    path = queries._tokenizer("byte_bpe_50k.json")
+    rows = [(k % 7, prose(40, k), 100 - k) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, turn long")
+    monkeypatch.setattr(token_files, "BYTES_A_FILE", 1000)
+    monkeypatch.setattr(token_files, "FILES_A_GROUP", 3)
+    files = token_files.write_tokens(df, f"file://{tmp_path}/out", path, order=[F.col("turn")])
+    got = sorted(token_files.read_tokens(files, f"file://{tmp_path}/out").collect(), key=lambda r: r["start"])
+    assert files.count() > 6 and [r["doc_id"] for r in got] == [k % 7 for k in range(99, -1, -1)]
+    ends = np.cumsum([r["n_tokens"] for r in got]).tolist()
+    assert [r["start"] for r in got] == [0, *ends[:-1]]
+
+
 def test_memo_keeps_early_words(monkeypatch):
     monkeypatch.setattr(tokenizing, "CACHE", 10)
     memo = tokenizing.Memo(len, str)
