@@ -6,9 +6,11 @@ of `documents`. run() writes each stage's rows as Parquet in the shared folder a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from axialis.llm.common import documents, shared_folder
+from axialis.llm.common import documents, remove, shared_folder
 from axialis.llm.decontaminate import drop_contaminated
 from axialis.llm.mixing import mix_rows
 from axialis.llm.near_dedup import keep_one
@@ -36,11 +38,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_rows(docs)
 
 
+def written_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which the rows of a Parquet table were written; None for a frame that isn't read from one."""
+    file = F.col("_metadata.file_name")
+    order = [F.regexp_extract(file, "part-([0-9]+)", 1).try_cast("long"), file, F.col("_metadata.row_index")]
+    try:
+        docs.select(*order)
+    except AnalysisException:
+        return None
+    return order
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' index, read back from the files."""
+    """The token files' index, read back from the files, which hold the documents in the order of training."""
     import public_tokenizers
 
-    return tokens_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), order=written_order(docs))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
@@ -48,10 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, used = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         path = shared_folder(spark, f"stage-{name}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        used.append(path)
+        if len(used) > 1:
+            remove(spark, used[-2])
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, used[-1])  # the token files are written
+    return out
