@@ -22,3 +22,25 @@ def test_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert len(out) == mixed.count() and min(r["start"] for r in out) == 0
     assert max(r["start"] + r["n_tokens"] for r in out) == sum(r["n_tokens"] for r in out)
+
+
+def test_edges(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, target long"
+    rows = {"empty": [], "blank": [(k, None, "en", "s", 0, 1) for k in range(5)]}
+    for name, own in rows.items():
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        assert corpus_pipeline.run(spark, sf).count() == 0  # a source without words isn't taken
+
+
+def test_tokens_in_training_order(spark, sf_dir, tmp_path):
+    docs = documents(spark, sf_dir)
+    mixed = corpus_pipeline.mixing(spark, docs, sf_dir)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    due = [r["doc_id"] for r in mixed.collect()]
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir)
+    assert [r["doc_id"] for r in sorted(got.collect(), key=lambda r: r["start"])] == due
+    plain = corpus_pipeline.tokens(spark, docs, sf_dir).orderBy("start").collect()
+    assert len(plain) == docs.count()
