@@ -3,7 +3,9 @@
 HTML is parsed into an ordered array of structs (pos, kind, text, digest, caption): runs of text and media
 references in the order of the page, each reference with the caption of its own figure (or its alt text).
 References carry a digest, the SHA-256 of the stored media, and are resolved by an equi-join on it; the join
-moves one small row a distinct digest, payloads stay where they were stored.
+moves one small row a distinct digest, payloads stay where they were stored, and a digest of most references is
+spread by salts. `media_round_trip` stores every text as an image, makes of what it reads back a page with the
+whole text in paragraphs and the image, captioned, in their middle, and takes its rows from the parsed sequences.
 
 Media are 8-bit greyscale images of width 64 in binary PGM, a lossless form: a payload is padded with zero bytes
 to a positive multiple of 64 and one byte is one sample. Features are computed from bytes read back.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_chunks
+from .common import byte_chunks, salted_join, shared_folder, text_chunks
 
 WIDTH = 64
 SKIP = {"script", "style", "template", "noscript"}
@@ -140,40 +142,54 @@ def described(samples: bytes) -> str:
 
 
 def store_texts(docs: DataFrame, path: str) -> DataFrame:
-    """Stores each text as an image and as a page that refers to it; returns the table of both, read again."""
+    """Stores each text as an image; returns the table, read again: doc_id, n_bytes, digest, media."""
 
     def run(batches):
         for batch in text_chunks(batches):
-            pages, media, digests, sizes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                data = text.encode()
-                image = to_pgm(pad(data))
-                digest = hashlib.sha256(image).hexdigest()
-                title = html.escape(" ".join(text[:80].split()[:6]))
-                pages.append(f"<article><p>{title}</p><figure><img src='media:{digest}'><figcaption>{len(data)} bytes</figcaption></figure></article>")
-                media.append(image)
-                digests.append(digest)
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pages), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "html", "digest", "media"])
+            data = [text.encode() for text in batch.column(1).to_pylist()]
+            media = [to_pgm(pad(x)) for x in data]
+            digests = [hashlib.sha256(x).hexdigest() for x in media]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "digest", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, html string, digest string, media binary"
+    schema = f"doc_id {kind}, n_bytes long, digest string, media binary"
     docs.select("doc_id", "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+def page_of(text: str, digest: str, n_bytes: int) -> str:
+    """A page of the text's lines as paragraphs, with the image in their middle."""
+    lines = [f"<p>{html.escape(x)}</p>" for x in text.split("\n")]
+    figure = f"<figure><img src='media:{digest}'><figcaption>{n_bytes} bytes</figcaption></figure>"
+    return "<article>" + "".join([*lines[: len(lines) // 2], figure, *lines[len(lines) // 2 :]]) + "</article>"
+
+
+def pages_of(table: DataFrame) -> DataFrame:
+    """page (doc_id, n_bytes) and html of each stored text, from the stored bytes."""
+
+    def run(batches):
+        for batch in byte_chunks(batches, (3,)):
+            pages = []
+            for n, digest, image in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                pages.append(page_of(from_pgm(image)[:n].decode(), digest, n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages)], ["doc_id", "n_bytes", "html"])
+
+    made = table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, n_bytes long, html string")
+    return made.select(F.struct("doc_id", "n_bytes").alias("page"), "html")
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """One row a distinct digest: sizes, checksums and feature of the stored bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in byte_chunks(batches, (1,)):
             rows = []
             for digest, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 samples = from_pgm(image)
                 rows.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), described(samples)))
             names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     found = media.select("digest", "media").mapInArrow(run, schema)
@@ -183,13 +199,16 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def resolved(sequences: DataFrame, media: DataFrame, key: str) -> DataFrame:
     """One row a sequence item: key, pos, kind, text, digest, caption and the media columns, null where unknown."""
-    items = sequences.select(key, F.explode("sequence").alias("i")).select(key, "i.*")
-    return items.join(media, "digest", "left")
+    items = sequences.select(key, F.explode("sequence").alias("i")).select(key, "i.*", F.coalesce("i.digest", F.lit("")).alias("__ref"))
+    return salted_join(items, media.withColumnRenamed("digest", "__ref"), "__ref", key, "left").drop("__ref")
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pos, caption."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pos, n_items,
+    caption and words_sha256 (of the text runs of the page, joined by a space) of each row."""
     table = store_texts(docs, shared_folder(docs.sparkSession, "media"))
-    pages = table.select(F.struct("doc_id", "n_bytes").alias("page"), "html")
-    refs = resolved(interleaved(pages, "page"), media_features(table), "page").where(F.col("kind") == "img")
-    return refs.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    sequences = interleaved(pages_of(table), "page")
+    runs = F.array_join(F.transform(F.filter("sequence", lambda i: i["kind"] == "text"), lambda i: i["text"]), " ")
+    page = F.struct("page.doc_id", "page.n_bytes", F.size("sequence").alias("n_items"), F.sha2(runs, 256).alias("words_sha256"))
+    refs = resolved(sequences.select(page.alias("page"), "sequence"), media_features(table), "page").where(F.col("kind") == "img")
+    return refs.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "page.n_items", "caption", "page.words_sha256")

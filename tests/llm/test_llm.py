@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -410,17 +411,56 @@ def test_reliabilities_follow_agreement():
     assert chance[(1, 1, 1, 1)] > 0.9 and chance[(-1, -1, -1, -1)] < 0.1 and chance[(1, 1, 0, 1)] > 0.8
 
 
+def media_by_hand(text):
+    """The row of a text by hashlib and numpy alone."""
+    data = text.encode()
+    height = max(1, (len(data) + 63) // 64)
+    payload = data.ljust(64 * height, b"\0")
+    image = f"P5\n64 {height}\n255\n".encode() + payload
+    x = np.array(list(payload), float).reshape(height, 64)
+    edges = [(min(k * height // 8, height - 1), max((k + 1) * height // 8, min(k * height // 8, height - 1) + 1)) for k in range(8)]
+    small = np.array([[x[a:b, 8 * c : 8 * c + 8].sum() / (b - a if (k + 1) * height // 8 > a else 1) for c in range(8)] for k, (a, b) in enumerate(edges)])
+    bits = "".join("1" if v > small.mean() else "0" for v in small.ravel())
+    feature = f"64x{height};mean={x.mean():.4f};std={x.std():.4f};ahash={int(bits, 2):016x}"
+    lines = text.split("\n")
+    runs = [" ".join(w.split()) for w in lines]
+    before = sum(bool(r) for r in runs[: len(lines) // 2])
+    words = hashlib.sha256(" ".join(r for r in runs if r).encode()).hexdigest()
+    return (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature, before, 1 + sum(map(bool, runs)), f"{len(data)} bytes", words)
+
+
 def test_media(spark, edge, none):
-    got = media.media_round_trip(edge).collect()
-    assert len(got) == edge.count()
-    by_text = defaultdict(set)
-    for r in got:
-        by_text[r["payload_sha256"]].add((r["media_sha256"], r["feature"], r["tail_crc32"]))
-    for _, t in texts_of(edge):
-        p = media.pad(t.encode())
-        assert len(p) % 64 == 0 and len(p) >= 64 and media.from_pgm(media.to_pgm(p)) == p
-        assert {x[2] for x in by_text[hashlib.sha256(p).hexdigest()]} == {zlib.crc32(p[-64:])}
-    assert all(len(x) == 1 for x in by_text.values()) and media.media_round_trip(none).count() == 0
+    more = [(700 + k, "\n".join(prose(k % 5, 9 * k + j) for j in range(k))) for k in range(30)] + [(800, "a < b & c &amp; \"d\" 'e' <p>x</p>\n\n\0 end"), (801, "x" * 64), (802, "y" * 65)]
+    rows = texts_of(edge) + more
+    got = media.media_round_trip(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[1:] for r in got if r["doc_id"] is None) == sorted(media_by_hand(t) for i, t in rows if i is None)
+    want = sorted((i, *media_by_hand(t)) for i, t in rows if i is not None)
+    assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == want
+    assert media.media_round_trip(none).count() == 0
+
+
+def test_interleaved_pages(spark, sf_dir):
+    """Whole pages with figures put in, against runs cut out by regular expressions."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    put = lambda page: re.sub("<p>", lambda m, n=iter(range(10**6)): f"<figure><img src='media:d{(k := next(n)) % 3}'><figcaption>cap <i>{k}</i></figcaption></figure><p>", page)
+    df = spark.createDataFrame([(r["page_id"], put(r["html"])) for r in pages], "page_id long, html string")
+    known = spark.createDataFrame([("d0", 5), ("d1", 7)], "digest string, payload_bytes long")
+    rows = defaultdict(list)
+    for r in media.resolved(media.interleaved(df), known, "page_id").collect():
+        rows[r["page_id"]].append((r["pos"], r["kind"], r["text"], r["digest"], r["caption"], r["payload_bytes"]))
+    blocks = "p|div|figure|article|li|ul|h1|header|footer|title|body"
+    for page in df.collect():
+        text = re.sub(r"(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE html>", "", page["html"])
+        text = re.sub(r"<figure><img src='media:(d[0-9])'><figcaption>cap <i>([0-9]+)</i></figcaption></figure>", "\1\\1:\\2\1", text)
+        text = re.sub(rf"</?(?:{blocks})(?: [^>]*)?>", "\1", text)
+        text = re.sub(r"<[^>]*>", "", text)
+        want = []
+        for run in text.split("\1"):
+            if found := re.fullmatch("(d[0-9]):([0-9]+)", run):
+                want.append(("img", None, found[1], f"cap {found[2]}", {"d0": 5, "d1": 7}.get(found[1])))
+            elif words := " ".join(html.unescape(run).split()):
+                want.append(("text", words, None, None, None))
+        assert sorted(rows[page["page_id"]]) == [(k, *x) for k, x in enumerate(want)], page["page_id"]
 
 
 def test_interleaved():
