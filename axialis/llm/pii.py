@@ -13,7 +13,10 @@ added where it accepts them and they touch no base span.
 Patterns are written with possessive groups and start only where a run of their characters starts or the last
 match ended, so they run in linear time and stack on any text and match the same spans.
 
-Defined cases: a null text is empty; equal texts are searched once and give each of their rows the same spans;
+Every row's text is searched where it lies; the candidates of equal texts are then merged under the text's MD5, so
+labels are computed once for each, and each of their rows gets the same spans (a text of most rows by salts).
+
+Defined cases: a null text is empty;
 null and repeated doc_ids keep their rows; positions are code points, ends exclusive.
 """
 
@@ -24,7 +27,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -49,6 +52,8 @@ WORDS = {
 }
 AGAINST = r"(?:version|release|isbn|token|hash|sha|uuid|page|vol|section|order)[^a-z]*$"
 LABELERS = ("v_regex", "v_gazetteer", "v_context", "v_shape")
+PRIOR = ({-1: 0.6, 0: 0.3, 1: 0.1}, {-1: 0.1, 0: 0.3, 1: 0.6})
+HOLD = 0.1
 FEATURES = ("loose", "long", "left_word", "right_word", *LABELERS)
 
 
@@ -105,7 +110,7 @@ def _votes(c: DataFrame) -> DataFrame:
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     known = (
         F.when(kind == "email", hit.rlike(rf"(?:\.|dot[)\]]? ?)(?:{DOMAINS})$"))
-        .when(kind == "phone", hit.rlike(f"^{CODES}") | F.col("loose") & hit.rlike(r"^\(?[2-9]"))
+        .when(kind == "phone", hit.rlike(f"^{CODES}") | F.col("loose") & hit.rlike(r"^\(?(?:0[1-9]|[2-9])"))
         .when(kind == "card", hit.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"))
         .otherwise(~hit.rlike(r"^(?:0|127|255)\."))
     )
@@ -135,27 +140,33 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], float]], turns: int = 30) -> dict[tuple[int, ...], float]:
-    """Expectation-maximisation over vote patterns: the chance of each pattern to be personal data.
+    """Expectation-maximisation over patterns (loose, votes): the chance of each to be personal data.
+
+    Base and loose candidates have shares of their own, as loose forms are rarely personal data in most corpora.
 
-    Each labeler has a distribution over its three votes for either class; counts are smoothed."""
+    Each labeler has a distribution over its three votes for either class, held towards PRIOR by a share of the
+    candidates: a vote for is likelier under the positive class, one against under the negative. This names the
+    classes, and keeps the weight of a rare vote, such as a word before the span that speaks against it."""
     total = sum(n for _, n in counts)
-    chance = {v: 1 / (1 + exp(-1.5 * sum(v))) for v, _ in counts}
+    hold = max(1.0, HOLD * total)
+    chance = {p: 1 / (1 + exp(-1.5 * sum(p[1:]))) for p, _ in counts}
     for _ in range(turns):
-        mass = [sum(n * (chance[v] if y else 1 - chance[v]) for v, n in counts) for y in (0, 1)]
-        share = [(m + 1.0) / (total + 2.0) for m in mass]
+        mass = [sum(n * (chance[p] if y else 1 - chance[p]) for p, n in counts) for y in (0, 1)]
+        share = {}
+        for loose in (0, 1):
+            own = [(chance[p], n) for p, n in counts if p[0] == loose]
+            share[loose] = (sum(c * n for c, n in own) + 1.0) / (sum(n for _, n in own) + 2.0)
         seen = [[{x: 0.0 for x in (-1, 0, 1)} for _ in LABELERS] for _ in (0, 1)]
-        for v, n in counts:
+        for p, n in counts:
             for y in (0, 1):
-                for k, x in enumerate(v):
-                    seen[y][k][x] += n * (chance[v] if y else 1 - chance[v])
-        # a vote for is held likelier under the positive class, one against under the negative: this names the classes
-        prior = [{-1: 2.0, 0: 1.0, 1: 0.5}, {-1: 0.5, 0: 1.0, 1: 2.0}]
-        for v, _ in counts:
-            odds = log(share[1]) - log(share[0])
-            for k, x in enumerate(v):
-                p = [(seen[y][k][x] + prior[y][x]) / (mass[y] + sum(prior[y].values())) for y in (0, 1)]
-                odds += log(p[1]) - log(p[0])
-            chance[v] = 1 / (1 + exp(-max(-30.0, min(30.0, odds))))
+                for k, x in enumerate(p[1:]):
+                    seen[y][k][x] += n * (chance[p] if y else 1 - chance[p])
+        for p, _ in counts:
+            odds = log(share[p[0]]) - log(1 - share[p[0]])
+            for k, x in enumerate(p[1:]):
+                q = [(seen[y][k][x] + hold * PRIOR[y][x]) / (mass[y] + hold) for y in (0, 1)]
+                odds += log(q[1]) - log(q[0])
+            chance[p] = 1 / (1 + exp(-max(-30.0, min(30.0, odds))))
     return chance
 
 
@@ -186,10 +197,10 @@ def accepted(found: DataFrame) -> DataFrame:
             continue
         votes: dict[tuple[int, ...], float] = {}
         for r in own:
-            v = tuple(r[c] for c in LABELERS)
+            v = tuple(r[c] for c in ("loose", *LABELERS))
             votes[v] = votes.get(v, 0.0) + float(r["n"])
         chance = reliabilities(sorted(votes.items()))
-        w = span_classifier([(tuple(float(r[c]) for c in FEATURES), chance[tuple(r[c] for c in LABELERS)], float(r["n"])) for r in own])
+        w = span_classifier([(tuple(float(r[c]) for c in FEATURES), chance[tuple(r[c] for c in ("loose", *LABELERS))], float(r["n"])) for r in own])
         line = F.lit(w[-1])
         for c, x in zip(FEATURES, w, strict=False):
             line = line + F.lit(x) * F.col(c).cast("double")
@@ -214,5 +225,5 @@ def private_spans(docs: DataFrame) -> DataFrame:
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     lists = lists.select("th", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", free)).alias("spans"))
     rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("th"))
-    out = rows.join(lists, "th", "left")
+    out = salted_join(rows, lists, "th", "doc_id", "left")
     return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axialis.llm import decontaminate, media, mixing, near_dedup, pii, quality, queries, suffix_dedup, token_count, token_files, tokenizing, toxicity
+from axialis.llm import common, decontaminate, media, mixing, near_dedup, pii, quality, queries, suffix_dedup, token_count, token_files, tokenizing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, uid long"
 
@@ -82,7 +82,7 @@ def test_shared_suffixes():
 @pytest.mark.parametrize("hot", [1500, 5, 1])
 def test_repeated_bytes(spark, edge, none, hot, monkeypatch):
     if hot < 1500:
-        monkeypatch.setattr(suffix_dedup, "TOP", 10)
+        monkeypatch.setattr(common.top_keys, "__defaults__", (10,))
     passage = prose(80, 9)
     more = [(100 + k, prose(20, 50 + k) + passage[k % 8 :] + prose(20, 90 + k)) for k in range(24)] + [(130, passage + passage)]
     df = edge.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
@@ -406,9 +406,27 @@ def test_private_spans(spark, edge, none):
     assert pii.private_spans(none).count() == 0
 
 
+def test_written_out_forms_are_added(spark, sf_dir):
+    """Planted e-mail addresses and numbers in forms that the base patterns don't match, among all documents."""
+    rows, due = [], {}
+    for j in range(120):
+        name, host = prose(1, j), prose(1, 1000 + j)
+        if j % 2:
+            kind, span = "email", ("%s at %s dot org", "%s(at)%s(dot)com", "%s [at] %s [dot] net")[j % 3] % (name, host)
+        else:
+            kind, span = "phone", (f"555-{100 + j}-{2000 + j}", f"(020) 7946 {1000 + j}", f"030 1234 {3000 + j}")[j % 3]
+        before = prose(5, 70 + j) + " " + ("", "please call ", "contact: ", "write to ", "tel. ")[j % 5]
+        rows.append((10**6 + j, before + span + ", " + prose(4, j)))
+        due[10**6 + j] = f"{kind}:{len(before)}:{len(before) + len(span)}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = pii.private_spans(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000").collect()
+    assert sum(due[r["doc_id"]] in r["spans"].split(",") for r in got) >= 114
+    assert sum(len(r["spans"].split(",")) for r in got) <= 126
+
+
 def test_reliabilities_follow_agreement():
-    chance = pii.reliabilities([((1, 1, 1, 1), 50.0), ((-1, -1, -1, -1), 50.0), ((1, 1, 0, 1), 5.0)])
-    assert chance[(1, 1, 1, 1)] > 0.9 and chance[(-1, -1, -1, -1)] < 0.1 and chance[(1, 1, 0, 1)] > 0.8
+    chance = pii.reliabilities([((0, 1, 1, 1, 1), 50.0), ((0, -1, -1, -1, -1), 50.0), ((0, 1, 1, 0, 1), 5.0), ((1, 0, 1, 1, 1), 5.0)])
+    assert chance[(0, 1, 1, 1, 1)] > 0.9 and chance[(0, -1, -1, -1, -1)] < 0.1 and chance[(0, 1, 1, 0, 1)] > 0.8 and chance[(1, 0, 1, 1, 1)] > 0.8
 
 
 def media_by_hand(text):
