@@ -72,13 +72,18 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str
 
 def top_keys(counts: DataFrame, key: str, number: str, total: int, share: int = 1000) -> DataFrame:
     """The keys of over a thousandth of all rows (and 1,000 rows): at most a thousand keys, by the sum of their numbers."""
-    return F.broadcast(counts.where(F.col(number) > max(share, total // share)).select(key))
-
-
-def skew_join(many: DataFrame, one: DataFrame, key: str, top: DataFrame) -> DataFrame:
-    """Inner join of rows with `one`, which has a row a key; the rows of `top` keys are joined by broadcast."""
-    rest = many.join(top, key, "left_anti").join(one, key)
-    return many.join(F.broadcast(one.join(top, key, "left_semi")), key).unionByName(rest)
+    return counts.where(F.col(number) > max(share, total // share)).select(key)
+
+
+def skew_join(many: DataFrame, one: DataFrame, key: str, top: DataFrame, spread: str, salts: int = 64) -> DataFrame:
+    """Inner join of rows with `one`, which has few rows a key; rows of `top` keys are spread by salts, a hash of the
+    column `spread`, and `one` has each of those keys' rows once a salt."""
+    marked = top.withColumn("__top", F.lit(True))
+    salt = F.when(F.col("__top"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("__top"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(F.broadcast(marked), key, "left").withColumn("__salt", salt).drop("__top")
+    right = one.join(F.broadcast(marked), key, "left").withColumn("__salt", F.explode(every)).drop("__top")
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -145,7 +145,7 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     own = texts.join(rest, "th", "left_semi").select("th", "text")
     tokens = stored(own.mapInArrow(_tokens, "th binary, n int, token long"), "tokens")
     often = stored(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "often")
-    known = skew_join(tokens, often, "token", top_keys(often, "token", "f", tokens.count()))
+    known = skew_join(tokens, often, "token", top_keys(often, "token", "f", tokens.count()), "th")
     known = known.groupBy("th").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
     known = known.where("5 * size(t) >= 4 * n")
     placed = known.select("th", "n", F.posexplode("t").alias("i", "x"), (F.col("n") - F.size("t")).alias("alone"))
@@ -189,12 +189,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     spread = signed.select("th", F.explode("bands").alias("key"))
     sizes = stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     top = top_keys(sizes, "key", "n", BANDS * signed.count())
-    members = stored(skew_join(spread, sizes, "key", top), "shared")
+    members = stored(skew_join(spread, sizes, "key", top, "th"), "shared")
     # a bucket's head is its most central text, whose buckets hold the most texts: changed copies lie around it
     central = members.groupBy("th").agg(F.sum("n").alias("weight"))
     ranked = members.join(central, "th").select("key", "th", "weight")
     heads = stored(ranked.groupBy("key").agg(F.max(F.struct("weight", "th")).alias("m")).select("key", F.col("m.th").alias("head")), "heads")
-    near = stored(skew_join(members.select("key", "th"), heads, "key", top), "members")
+    near = stored(skew_join(members.select("key", "th"), heads, "key", top, "th"), "members")
     discard(members, heads)
     wanted = near.select("th").distinct()
     texts = rows.join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
@@ -205,7 +205,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     named = stored(named, "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed = stored(mixed, "mixed")
-    rest = stored(skew_join(named, mixed, "key", top).select("th", "component").distinct(), "rest")
+    rest = stored(skew_join(named, mixed, "key", top, "th").select("th", "component").distinct(), "rest")
     discard(near, named, mixed, sizes)
     pairs = prefix_pairs(rest, texts)
     more = stored(verified(pairs, texts).where(F.col("similarity") >= LEAST), "links")

@@ -20,8 +20,7 @@ hold the same core of length + 1 - width bytes around it, so pieces of those win
 equal windows still meet. Groups that are too large again are cut by the next of WIDTHS; at a width of 1 a group has
 one distinct window, so every group ends in a block or as copies of one piece.
 
-Rows of the most common keys (over a thousandth of all rows, so at most a thousand keys) go by broadcast of
-those keys, not by a shuffle to one task.
+Rows of the most common keys (over a thousandth of all rows, so at most a thousand keys) are spread by salts.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all; a text of at least `length` bytes that
 occurs twice loses all its bytes (it is searched once, as one text); very long texts are anchored in overlapping
@@ -39,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, discard, mix64, salted_join, stored, text_chunks
+from .common import byte_chunks, discard, mix64, salted_join, skew_join, stored, text_chunks, top_keys
 
 LENGTH = 200
 KMER = 40
 HOT = 1500
 WIDTHS = (40, 8, 1)
-TOP = 1000
 BLOCK = 1 << 19
 PIECE = 1 << 20
 TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -294,19 +292,15 @@ def searched(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None
     """From distinct spans (sp, h, span, mult): sp and mask (null: all) of those with shared windows, and the spans of
     the groups h with more than `hot` spans, which are left out."""
     per = stored(distinct.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "groups")
-    limit = max(hot, TOP, distinct.count() // TOP)
-    top = F.broadcast(per.where(F.col("k") > limit).select("h"))
-    rest = distinct.join(top, "h", "left_anti")
-    blocks = rest.select("h", "sp", "span").join(per.where(F.col("k") <= hot).select("h"), "h")
+    grouped = skew_join(distinct, per, "h", top_keys(per, "h", "k", distinct.count()), "sp")
+    blocks = grouped.where(F.col("k") <= hot).select("h", "sp", "span")
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     found = blocks.repartition(n, "h").sortWithinPartitions("h", "sp").mapInArrow(_search, "sp binary, mask binary")
     whole = distinct.where("mult > 1").select("sp", F.lit(None).cast("binary").alias("mask"))
     masks = stored(found.join(whole.select("sp"), "sp", "left_anti").unionByName(whole), "masks")
     large = None
     if per.where(F.col("k") > hot).limit(1).count():
-        middle = per.where((F.col("k") > hot) & (F.col("k") <= limit)).select("h")
-        large = distinct.join(top, "h", "left_semi").unionByName(rest.join(middle, "h", "left_semi"))
-        large = stored(large, "large")
+        large = stored(grouped.where(F.col("k") > hot).select("h", "sp", "span", "mult"), "large")
     discard(per)
     return masks, large
 
@@ -343,9 +337,7 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     long = uniq.where(F.octet_length("text") >= LENGTH)
     anchors = stored(long.select("uid", "text").mapInArrow(_anchors, "h long, uid long, start long, n int"), "anchors")
     again = stored(anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "again")
-    limit = max(TOP, anchors.count() // TOP)
-    top = F.broadcast(again.where(F.col("k") > limit).select("h"))
-    shared = anchors.join(top, "h", "left_semi").unionByName(anchors.join(top, "h", "left_anti").join(again.where(F.col("k") <= limit).select("h"), "h"))
+    shared = skew_join(anchors, again.select("h"), "h", top_keys(again, "h", "k", anchors.count()), "uid")
     found = shared.groupBy("uid").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
     spans = long.select("uid", "text").join(found, "uid").select("uid", "text", "runs")
     spans = stored(spans.mapInArrow(_spans, "h long, sp binary, span binary, uid long, start long, n int"), "spans")
@@ -353,13 +345,9 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     distinct = spans.groupBy("sp").agg(F.first("h").alias("h"), F.first("span").alias("span"), F.count("*").alias("mult"))
     distinct = stored(distinct, "distinct")
     masks, used = span_masks(distinct, hot)
-    # spans of the most copies are whole: they don't need the join
-    limit = max(TOP, spans.count() // TOP)
-    top = F.broadcast(distinct.where(F.col("mult") > limit).select("sp"))
-    slim = spans.select("sp", "uid", "start", "n")
-    whole = slim.join(top, "sp", "left_semi").select("uid", "start", "n", F.lit(None).cast("binary").alias("mask"))
-    part = slim.drop("n").join(top, "sp", "left_anti").join(masks, "sp").select("uid", (F.col("start") + F.col("i0")).alias("start"), "n", "mask")
-    marks = part.unionByName(whole).groupBy("uid").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
+    marks = skew_join(spans.select("sp", "uid", "start"), masks, "sp", top_keys(distinct, "sp", "mult", spans.count()), "uid")
+    marks = marks.select("uid", (F.col("start") + F.col("i0")).alias("start"), "n", "mask")
+    marks = marks.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
     once = long.where("m = 1").select("uid", "text")
     cut = once.join(marks, "uid").select("uid", "text", "marks").mapInArrow(_apply, "uid long, n_removed long, n_spans long, kept_sha256 string")
     cut = stored(cut, "cut")
