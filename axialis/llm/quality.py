@@ -5,8 +5,11 @@ square roots of the shares of its bytes and hashed byte pairs and of words that
 attention weights a = softmax(w . (tanh(V h) * sigmoid(U h))) are learned from document labels alone, and the
 score is a logistic function of the weighted sum of passages.
 
-Learned from at most TRAIN_ROWS labelled rows, those with the smallest hashes of their ids. Scoring has no such
-bound and reads whole texts. Defined cases: an empty text is one passage of zeros; without labelled rows every
+A text is encoded in parts of PART bytes, so a very long one needs memory for its passages' HIDDEN numbers only; a
+word that repeats the last one of the part before isn't counted as a repeat.
+
+Learned from at most TRAIN_ROWS labelled rows, those with the smallest hashes of their ids, while their features are
+at most TRAIN_BYTES. Scoring has no such bound and reads whole texts. Defined cases: an empty text is one passage of zeros; without labelled rows every
 score is 0; repeated rows are scored alike; null ids are scored, not learned from.
 """
 
@@ -14,12 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks
-from .toxicity import bucket, labelled_sample, sigmoid
+from .toxicity import bucket, encoded, labelled_sample, sigmoid
 
 PASSAGE = 512
 PAIRS = 256
@@ -27,13 +29,31 @@ WIDTH = 256 + PAIRS + 1
 HIDDEN = 32
 GATE = 16
 TRAIN_ROWS = 3000
+TRAIN_BYTES = 128 << 20
+PART = 512 * PASSAGE
 EPOCHS = 12
 
 
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages in a row, and each text's bounds in them."""
-    n = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(x.as_buffer() or b"" for x in texts.cast(pa.large_binary())), np.uint8).astype(np.int64)
+def parts(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray]:
+    """The texts cut into parts, in groups of at most PART bytes, and each text's bounds in their passages."""
+    groups, size, ends = [[]], 0, [0]
+    for text in texts:
+        data = text.as_buffer() or b""
+        for at in range(0, max(1, len(data)), PART):
+            part = data[at : at + PART]
+            if size + len(part) > PART and groups[-1]:
+                groups.append([])
+                size = 0
+            groups[-1].append(part)
+            size += len(part)
+        ends.append(ends[-1] + max(1, -(-len(data) // PASSAGE)))
+    return groups, np.array(ends)
+
+
+def passages(group: list[bytes]) -> np.ndarray:
+    """Features of all passages of a group of parts in a row."""
+    n = np.array([len(x) for x in group], np.int64)
+    data = np.frombuffer(b"".join(group), np.uint8).astype(np.int64)
     count = np.maximum(1, -(-n // PASSAGE))
     bounds = np.concatenate([[0], np.cumsum(count)])
     row = np.repeat(np.arange(len(n)), n)
@@ -54,11 +74,14 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = out.reshape(total, WIDTH).astype(np.float32)
     size = np.maximum(1, out[:, :256].sum(1, keepdims=True))
     out[:, -1] *= 6
-    return np.sqrt(out / size), bounds
+    return np.sqrt(out / size)
+
+
+def hidden(m: dict, x: np.ndarray) -> np.ndarray:
+    return np.tanh(x @ m["E"] + m["e"])
 
 
-def forward(m: dict, x: np.ndarray, bounds: np.ndarray) -> dict:
-    h = np.tanh(x @ m["E"] + m["e"])
+def attend(m: dict, h: np.ndarray, bounds: np.ndarray) -> dict:
     v, u = np.tanh(h @ m["V"]), sigmoid(h @ m["U"])
     s = (v * u) @ m["w"]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -69,7 +92,7 @@ def forward(m: dict, x: np.ndarray, bounds: np.ndarray) -> dict:
 
 
 def gradients(m: dict, x: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> dict:
-    f = forward(m, x, bounds)
+    f = attend(m, hidden(m, x), bounds)
     d = (f["p"] - y) / len(y)
     dz = d[:, None] * m["c"]
     g = {"c": f["z"].T @ d, "b": np.array([d.sum()])}
@@ -105,19 +128,14 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float
     return m
 
 
-def _encode(batches):
-    for batch in text_chunks(batches):
-        x, bounds = passages(batch.column(2))
-        x = x.astype(np.float16)
-        feats = [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feats, pa.binary())], ["doc_id", "y", "feats"])
+def _features(texts: pa.Array) -> list[bytes]:
+    groups, bounds = parts(texts)
+    x = np.concatenate([passages(g).astype(np.float16) for g in groups])
+    return [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> dict | None:
-    ids = labelled_sample(labels, "quality", keep, rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
-    sent = picked.mapInArrow(_encode, "doc_id long, y int, feats binary")
-    table = sent.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("feats").alias("feats")).toPandas()
+def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, limit: int = TRAIN_BYTES) -> dict | None:
+    table = encoded(docs, labelled_sample(labels, "quality", keep, rows), _features, limit).toPandas()
     if table.empty:
         return None
     table = table.sort_values("doc_id")
@@ -131,8 +149,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
 
     def run(batches):
         for batch in text_chunks(batches, limit=1 << 20):
-            x, bounds = passages(batch.column(1))
-            score = forward(model, x, bounds)["p"].astype(np.float64) if model else np.zeros(batch.num_rows)
+            score = np.zeros(batch.num_rows)
+            if model:
+                groups, bounds = parts(batch.column(1))
+                h = np.concatenate([hidden(model, passages(g)) for g in groups])
+                score = attend(model, h, bounds)["p"].astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -7,8 +7,8 @@ so a long text is judged as a short one is. FTRL keeps a learning rate for each
 the others travel with the tasks, at most 2**BITS of them, whatever the corpus holds. A feature enters the model
 once LEAST of the rows it learns from have it (FTRL's feature inclusion), else rare words are learned by heart.
 
-The model is learned from at most TRAIN_ROWS labelled rows, those with the smallest hashes of their ids, so
-the choice is the same in each run. Defined cases: an empty text gets the score of the bias alone; without
+The model is learned from at most TRAIN_ROWS labelled rows, those with the smallest hashes of their ids, while their
+features are at most TRAIN_BYTES, so the choice is the same in each run. Defined cases: an empty text gets the score of the bias alone; without
 any labelled row every score is 0; repeated rows are scored alike; a null doc_id is scored, not learned from.
 """
 
@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import coded_words, filter_texts, hashed, mix64, text_chunks
 
 BITS = 20
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 12_000
+TRAIN_BYTES = 128 << 20
 EPOCHS = 10
 LEAST = 5
 STEM = 5
@@ -88,22 +90,33 @@ def labelled_sample(labels: DataFrame, label: str, keep, rows: int) -> DataFrame
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def _encode(batches):
-    for batch in text_chunks(batches):
-        places, rows = features(batch.column(2).to_pylist())
-        key = np.unique(rows << BITS | places)
-        ends = np.searchsorted(key, np.arange(batch.num_rows + 1) << BITS)
-        flat = (key & ((1 << BITS) - 1)).astype(np.int32)
-        feats = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feats, pa.binary())], ["doc_id", "y", "feats"])
+def encoded(docs: DataFrame, ids: DataFrame, encode, limit: int) -> DataFrame:
+    """doc_id, y, feats of the rows of `ids` (doc_id, y) in order of their hashes, while feats is at most `limit` bytes.
 
+    encode(texts) gives the features of each text of a chunk as bytes; of rows with one id the least are taken."""
+
+    def run(batches):
+        for batch in text_chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encode(batch.column(2)), pa.binary())], ["doc_id", "y", "feats"])
 
-def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Places of the nonzero weights, the weights and the bias; None without labelled rows."""
-    ids = labelled_sample(labels, "toxic", keep, rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
-    sent = picked.mapInArrow(_encode, "doc_id long, y int, feats binary")
-    table = sent.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("feats").alias("feats")).toArrow()
+    schema = T.StructType([picked.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("feats", T.BinaryType())])
+    one = picked.mapInArrow(run, schema).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("feats").alias("feats"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return one.withColumn("used", F.sum(F.octet_length("feats")).over(order)).where(F.col("used") <= limit).select("doc_id", "y", "feats")
+
+
+def _places(texts: pa.Array) -> list[bytes]:
+    places, rows = features(texts.to_pylist())
+    key = np.unique(rows << BITS | places)
+    ends = np.searchsorted(key, np.arange(len(texts) + 1) << BITS)
+    flat = (key & ((1 << BITS) - 1)).astype(np.int32)
+    return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, least: int = LEAST, limit: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Places of the nonzero weights, the weights and the bias; None without labelled rows."""
+    table = encoded(docs, labelled_sample(labels, "toxic", keep, rows), _places, limit).toArrow()
     if not table.num_rows:
         return None
     table = table.sort_by("doc_id")

@@ -507,7 +507,7 @@ def test_gradients_of_attention():
     g = quality.gradients(m, x, bounds, y)
 
     def loss():
-        p = quality.forward(m, x, bounds)["p"]
+        p = quality.attend(m, quality.hidden(m, x), bounds)["p"]
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
     for k in m:
@@ -521,6 +521,31 @@ def test_gradients_of_attention():
         assert g[k][i] == pytest.approx((up - down) / (2 * step), abs=1e-6)
 
 
+def test_parts_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([prose(400, 1), "", None, "é" * 700, prose(90, 2)], pa.large_string()).fill_null("")
+    whole, bounds = quality.parts(texts)
+    assert len(whole) == 1 and bounds.tolist() == [0, *np.cumsum([max(1, -(-len(t.encode()) // 512)) for t in texts.to_pylist()])]
+    x = quality.passages(whole[0])
+    monkeypatch.setattr(quality, "PART", 1024)
+    cut, same = quality.parts(texts)
+    assert len(cut) > 3 and same.tolist() == bounds.tolist()
+    assert np.allclose(np.concatenate([quality.passages(g) for g in cut])[:, :-1], x[:, :-1])
+
+
+def test_bounded_training_rows(spark):
+    docs = spark.createDataFrame([(f"id{k}", prose(50, k)) for k in range(40)], "doc_id string, text string")
+    lab = spark.createDataFrame([(f"id{k}", k % 2, k % 3 == 0) for k in range(40)], "doc_id string, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    for module, name, encode in ((toxicity, "toxic", toxicity._places), (quality, "quality", quality._features)):
+        ids = toxicity.labelled_sample(lab, name, F.lit(True), 30)
+        every = toxicity.encoded(docs, ids, encode, 1 << 30).collect()
+        size = sum(len(r["feats"]) for r in every)
+        some = toxicity.encoded(docs, ids, encode, size // 2).collect()
+        assert len(every) == 30 and 5 < len(some) < 25 and sum(len(r["feats"]) for r in some) <= size // 2
+        assert module.train(docs, lab, F.lit(True)) is not None
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     lab = duckdb.sql(f"select doc_id, quality, toxic from '{sf}/labels.parquet'").df().set_index("doc_id")
