@@ -197,7 +197,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     near = stored(skew_join(members.select("key", "th"), heads, "key", top, "th"), "members")
     discard(members, heads)
     wanted = near.select("th").distinct()
-    texts = rows.join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    texts = rows.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th", "left_semi")
     texts = stored(texts, "texts")
     tried = stored(verified(near.where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b")).distinct(), texts).where(F.col("similarity") >= LEAST), "links")
     label = components(tried)
