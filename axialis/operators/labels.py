@@ -48,11 +48,18 @@ def cell_mean_coherence(mask: DataFrame, listed: DataFrame | None = None) -> Dat
     return _listed(found, listed, "mean_coherence")
 
 
+def mean_katic_orders(field: DataFrame, orders: tuple[int, ...], *by: str) -> DataFrame:
+    """psi<k> = |mean of coherence exp(i k theta)| of each group for several k, in one grouping; an empty one 0."""
+    def size(k):
+        re, im = F.avg(F.col("coherence") * F.cos(k * F.col("theta"))), F.avg(F.col("coherence") * F.sin(k * F.col("theta")))
+        return F.coalesce(F.sqrt(re * re + im * im), F.lit(0.0)).alias(f"psi{k}")
+
+    return field.groupBy(*by).agg(*[size(symmetry_order(k)) for k in orders])
+
+
 def mean_katic_order(field: DataFrame, k: int, *by: str) -> DataFrame:
-    """|mean of coherence exp(i k theta)| of each group; an empty one 0."""
-    k = symmetry_order(k)
-    re, im = F.avg(F.col("coherence") * F.cos(k * F.col("theta"))), F.avg(F.col("coherence") * F.sin(k * F.col("theta")))
-    return field.groupBy(*by).agg(F.coalesce(F.sqrt(re * re + im * im), F.lit(0.0)).alias("order"))
+    """order: the mean of one symmetry order, as in mean_katic_orders."""
+    return mean_katic_orders(field, (k,), *by).withColumnRenamed(f"psi{k}", "order")
 
 
 def nematic_order(angles: DataFrame, *by: str) -> DataFrame:

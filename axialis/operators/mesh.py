@@ -54,42 +54,62 @@ def frank_mesh(triangles: DataFrame, points: DataFrame, max_edge: float) -> Data
 
 
 def triangulated(xy: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of distinct points (Bowyer-Watson, points inserted in random order, moved by 1e-9 of the size)."""
-    n = len(xy)
-    if n < 3:
+    """Delaunay triangles of distinct points, counter-clockwise.
+
+    Bowyer-Watson with points inserted in random order, moved by 1e-9 of the size. Outside of each hull edge lies a triangle
+    with the vertex -1, whose circle is the half-plane, so the hull is exact. A circle through its triangle's
+    first corner is c (x^2 + y^2) - m x - n y < 0 about it, with c = 0 for a half-plane; one array operation tests all."""
+    count = len(xy)
+    size = max(float(np.ptp(xy, axis=0).max()), 1e-12) if count else 0.0
+    if count < 3:
         return np.zeros((0, 3), int)
     rng = np.random.default_rng(5)
-    lo, size = xy.min(0), max(float(np.ptp(xy, axis=0).max()), 1e-12)
-    p = (xy - lo) / size + rng.uniform(-1e-9, 1e-9, xy.shape)
-    p = np.concatenate([p, [[-40.0, -40.0], [41.0, -40.0], [0.5, 60.0]]])
-    tris, centre, r2 = [(n, n + 1, n + 2)], [], []
-
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
-        bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
-        d = 2 * (bx * cy - by * cx)
-        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        return (ax + ux, ay + uy), ux * ux + uy * uy
-
-    c, r = circle(tris[0])
-    centre, r2 = np.array([c]), np.array([r])
-    for i in rng.permutation(n):
-        bad = np.flatnonzero(((centre - p[i]) ** 2).sum(1) < r2)
-        edges: dict[tuple, tuple] = {}
-        for t in bad:
-            a, b, c = tris[t]
-            for e in ((a, b), (b, c), (c, a)):
-                key = (min(e), max(e))
-                if edges.pop(key, None) is None:
-                    edges[key] = e
-        keep = np.ones(len(tris), bool)
-        keep[bad] = False
-        new = [(a, b, int(i)) for a, b in edges.values()]
-        made = [circle(t) for t in new]
-        tris = [t for t, k in zip(tris, keep, strict=True) if k] + new
-        centre = np.concatenate([centre[keep], [m[0] for m in made]])
-        r2 = np.concatenate([r2[keep], [m[1] for m in made]])
-    out = np.array([t for t in tris if max(t) < n], int).reshape(-1, 3)
+    p = (xy - xy.min(0)) / size + rng.uniform(-1e-9, 1e-9, xy.shape)
+    order = rng.permutation(count).tolist()
+    a, b = p[order[0]], p[order[1]]
+    third = int(np.argmax([abs((b[0] - a[0]) * (p[k][1] - a[1]) - (b[1] - a[1]) * (p[k][0] - a[0])) for k in order[2:]])) + 2
+    order[2], order[third] = order[third], order[2]
+    corners = np.full((2 * count + 16, 3), -2)
+    circles = np.zeros((5, 2 * count + 16))
+    points = p.tolist()
+
+    def put(slot: int, t: tuple[int, int, int]) -> None:
+        while t[0] == -1 or t[1] == -1:
+            t = (t[1], t[2], t[0])
+        (ax, ay), (bx, by) = points[t[0]], points[t[1]]
+        bx, by = bx - ax, by - ay
+        c, m, n = 0.0, -by, bx
+        if t[2] >= 0:
+            cx, cy = points[t[2]][0] - ax, points[t[2]][1] - ay
+            bb, cc = bx * bx + by * by, cx * cx + cy * cy
+            c, m, n = bx * cy - by * cx, cy * bb - by * cc, bx * cc - cx * bb
+        corners[slot] = t
+        circles[:, slot] = ax, ay, c, m, n
+
+    i, j, k = order[:3]
+    (ax, ay), (bx, by), (cx, cy) = points[i], points[j], points[k]
+    if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) < 0:
+        j, k = k, j
+    for slot, t in enumerate(((i, j, k), (j, i, -1), (k, j, -1), (i, k, -1))):
+        put(slot, t)
+    used, free = 4, []
+    for i in order[3:]:
+        ax, ay, c, m, n = circles[:, :used]
+        x, y = points[i][0] - ax, points[i][1] - ay
+        bad = np.flatnonzero(c * (x * x + y * y) - m * x - n * y < 0).tolist()
+        edges = set()
+        for slot in bad:
+            u, v, w = corners[slot].tolist()
+            edges |= {(u, v), (v, w), (w, u)}
+            corners[slot], circles[:, slot] = -2, 0.0
+        free += bad
+        for u, v in edges:
+            if (v, u) not in edges:
+                if not free:
+                    free.append(used)
+                    used += 1
+                put(free.pop(), (u, v, i))
+    out = corners[:used][(corners[:used] >= 0).all(1)]
     a, b, c = xy[out[:, 0]], xy[out[:, 1]], xy[out[:, 2]]
     area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (c[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]))
     return out[area > 1e-12 * size * size]

@@ -7,6 +7,7 @@ with strict=True.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ def shape_katic(k: int) -> Column:
 
 
 def analyze_shapes(rings: DataFrame, key: str = "contour_id", strict: bool = False) -> DataFrame:
-    """Every descriptor of every contour: area, perimeter, centroid, W1 tensor, elongation, spectra, shape index."""
+    """Every descriptor of every contour: area, perimeter, centroid, W1 tensor, elongation, spectra, shape index,
+    hull area and convexity (area over hull area, 0 where the hull has none)."""
     dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
     size = F.sqrt(dx * dx + dy * dy)
     safe = F.when(size >= 1e-15, size)
@@ -63,12 +65,12 @@ def analyze_shapes(rings: DataFrame, key: str = "contour_id", strict: bool = Fal
         "centroid_x": F.avg("x"), "centroid_y": F.avg("y"),
         "w1_xx": 0.5 * F.coalesce(F.sum(dy * dy / safe), F.lit(0.0)), "w1_xy": -0.5 * F.coalesce(F.sum(dx * dy / safe), F.lit(0.0)), "w1_yy": 0.5 * F.coalesce(F.sum(dx * dx / safe), F.lit(0.0)),
     }
-    sums |= {f"q{k}": _amplitude(k) for k in SHAPE_K}
+    sums |= {"xs": F.collect_list(F.struct("x", "y"))} | {f"q{k}": _amplitude(k) for k in SHAPE_K}
     for k in (0, *FOURIER_K):
         sums[f"re{k}"], sums[f"im{k}"] = _mode(k)
     out = contours(rings, key, strict).groupBy(key).agg(*[c.alias(n) for n, c in sums.items()])
     a, b, d = F.col("w1_xx"), F.col("w1_xy"), F.col("w1_yy")
-    out = out.withColumn("area", F.abs("signed_area"))
+    out = out.withColumns({"area": F.abs("signed_area"), "hull_area": hull_area("xs")})
     size0 = F.sqrt(F.col("re0") * F.col("re0") + F.col("im0") * F.col("im0"))
     fourier = [F.when(size0 < 1e-15, 0.0).otherwise(F.sqrt(F.col(f"re{k}") * F.col(f"re{k}") + F.col(f"im{k}") * F.col(f"im{k}")) / size0) for k in FOURIER_K]
     return out.select(
@@ -76,6 +78,7 @@ def analyze_shapes(rings: DataFrame, key: str = "contour_id", strict: bool = Fal
         ratio(F.sqrt((a - d) * (a - d) + 4.0 * b * b), a + d).alias("elongation"), fold(0.5 * F.atan2(2.0 * b, a - d)).alias("elongation_angle"),
         F.when(F.col("area") < 1e-15, 0.0).otherwise(F.col("perimeter") / F.sqrt("area")).alias("shape_index"),
         F.array(*[f"q{k}" for k in SHAPE_K]).alias("shape_katic"), F.array(*fourier).alias("fourier"),
+        "hull_area", ratio(F.col("area"), F.col("hull_area")).alias("convexity"),
     )
 
 
@@ -86,39 +89,45 @@ def fourier_mode(rings: DataFrame, k: int, key: str = "contour_id") -> DataFrame
     return out.select(key, F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amplitude"), F.atan2("im", "re").alias("phase"))
 
 
-def _hull(points: list) -> float:
-    ring = sorted(set(points))
-    if len(ring) < 3:
-        return 0.0
-
-    def half(row):
-        out = []
-        for p in row:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    hull = half(ring) + half(ring[::-1])
-    return 0.5 * abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))) if len(hull) > 2 else 0.0
-
-
-def hull_areas(rings: DataFrame, key: str = "contour_id") -> DataFrame:
-    """Area of each contour's convex hull (monotone chain over distinct points; degenerate: 0)."""
-
-    def run(batches):
-        for batch in batches:
-            areas = [_hull([(p["x"], p["y"]) for p in row]) for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(areas, pa.float64())], [key, "hull_area"])
-
-    lists = rings.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("points")).where(F.size("points") >= 3)
-    return lists.mapInArrow(run, T.StructType([lists.schema[key], T.StructField("hull_area", T.DoubleType())]))
+def _chain(group: np.ndarray, x: np.ndarray, y: np.ndarray, side: float) -> np.ndarray:
+    """Twice the area under the lower (side 1) or upper (-1) hull of each group's points, which are sorted by x.
+
+    A point on or beyond the chord of its neighbours isn't a corner; all such go at once until none is left."""
+    groups = int(group[-1]) + 1 if len(group) else 0
+    while len(x) > 2:
+        turn = (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (y[1:-1] - y[:-2]) * (x[2:] - x[:-2])
+        drop = (side * turn <= 0) & (group[2:] == group[:-2])
+        if not drop.any():
+            break
+        keep = np.concatenate([[True], ~drop, [True]])
+        group, x, y = group[keep], x[keep], y[keep]
+    same = group[1:] == group[:-1]
+    return np.bincount(group[1:][same], ((x[1:] - x[:-1]) * (y[1:] + y[:-1]))[same], minlength=groups)
+
+
+@F.arrow_udf(T.DoubleType())
+def hull_area(points: pa.Array) -> pa.Array:
+    """Area of the convex hull of each list of (x, y); of fewer than three distinct points or a line 0."""
+    n = np.asarray(points.value_lengths().fill_null(0))
+    flat = points.flatten()
+    x, y = (np.asarray(flat.field(k).cast(pa.float64())) for k in (0, 1))
+    group = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((y, x, group))
+    group, x, y = group[order], x[order], y[order]
+    area = np.zeros(len(n))
+    if len(x):
+        # a group's points of one x count by the lowest for the lower hull, by the highest for the upper
+        new = np.ones(len(x), bool)
+        new[1:] = (group[1:] != group[:-1]) | (x[1:] != x[:-1])
+        last = np.append(new[1:], True)
+        twice = _chain(group[last], x[last], y[last], -1.0) - _chain(group[new], x[new], y[new], 1.0)
+        area[: len(twice)] = np.maximum(0.5 * twice, 0.0)
+    return pa.array(area)
 
 
 def convexity(rings: DataFrame, key: str = "contour_id") -> DataFrame:
     """Area over hull area, 0 where the hull has none."""
-    shapes = analyze_shapes(rings, key).select(key, "area")
-    return shapes.join(hull_areas(rings, key), key).select(key, "area", "hull_area", F.when(F.col("hull_area") < 1e-15, 0.0).otherwise(F.col("area") / F.col("hull_area")).alias("convexity"))
+    return analyze_shapes(rings, key).select(key, "area", "hull_area", "convexity")
 
 
 def polar_ring(n: Column, seq: Column, radius: Column) -> tuple[Column, Column]:

@@ -1,7 +1,7 @@
 """Fields on pixel grids, held as rows (image_id, row, col, value).
 
-Two back-ends. The relational one uses windows for neighbours and a broadcast kernel table for blurs: separable, so
-2 (2 r + 1) rows a pixel. The tile one cuts images into tiles with a halo as wide as the stencil and runs dense array
+Two back-ends. The relational one uses windows for neighbours and rows of taps for blurs: separable, so
+2 (2 r + 1) rows a pixel. The tile one, the default, cuts images into tiles with a halo as wide as the stencil and runs dense array
 code on each tile; an image of any size becomes many tasks, and one shuffle serves all scales. Outside an image is 0.
 """
 
@@ -53,10 +53,53 @@ def with_pixels(field: DataFrame, places: DataFrame, column: str = "value") -> D
     return field.join(new, ["image_id", "row", "col"], "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
-def gaussian_blur(field: DataFrame, sigma: float, columns: tuple[str, ...] = ("value",)) -> DataFrame:
-    """Separable blur with zero padding of several columns at once: one shuffle an axis."""
+def _tiles(field: DataFrame, columns: tuple[str, ...], halo: int, tile: int) -> tuple[DataFrame, int]:
+    """Pixels dealt to the tiles (tr, tc) that hold them or have them in their halo, with the image's last row and
+    column (h, w); and the tile's size, at least the halo."""
+    tile = max(tile, halo)
+    size = field.groupBy("image_id").agg(F.max("row").alias("h"), F.max("col").alias("w"))
+    spread = lambda axis: F.sequence(F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / tile)).cast("int"), F.floor((F.col(axis) + halo) / tile).cast("int"))
+    dealt = field.select("image_id", "row", "col", *columns).join(size, "image_id")
+    dealt = dealt.withColumn("tr", F.explode(spread("row"))).withColumn("tc", F.explode(spread("col")))
+    return dealt.where((F.col("tr") * tile <= F.col("h")) & (F.col("tc") * tile <= F.col("w"))), tile
+
+
+class _Tile:
+    """One tile's frame: its dense arrays with halo, and its own part."""
+
+    def __init__(self, pdf: pd.DataFrame, halo: int, tile: int):
+        h, w, tr, tc = (int(pdf[c].iloc[0]) for c in ("h", "w", "tr", "tc"))
+        self.pdf, self.image = pdf, pdf["image_id"].iloc[0]
+        self.r0, self.c0 = max(0, tr * tile - halo), max(0, tc * tile - halo)
+        self.shape = (min(h, (tr + 1) * tile - 1 + halo) - self.r0 + 1, min(w, (tc + 1) * tile - 1 + halo) - self.c0 + 1)
+        rows, cols = (tr * tile, min(h + 1, (tr + 1) * tile)), (tc * tile, min(w + 1, (tc + 1) * tile))
+        self.own = np.s_[rows[0] - self.r0 : rows[1] - self.r0, cols[0] - self.c0 : cols[1] - self.c0]
+        self.rows, self.cols = (x.ravel() for x in np.mgrid[rows[0] : rows[1], cols[0] : cols[1]])
+
+    def dense(self, column: str) -> np.ndarray:
+        out = np.zeros(self.shape)
+        out[self.pdf["row"].to_numpy() - self.r0, self.pdf["col"].to_numpy() - self.c0] = self.pdf[column].to_numpy()
+        return out
+
+
+def gaussian_blur(field: DataFrame, sigma: float, columns: tuple[str, ...] = ("value",), backend: str = "tile", tile: int = TILE) -> DataFrame:
+    """Separable blur with zero padding of several columns at once: one shuffle of tiles, or (relational) one an axis."""
     if sigma < 0.5:
         return field.select("image_id", "row", "col", *columns)
+    if backend == "relational":
+        return _blur_by_rows(field, sigma, columns)
+    taps = gaussian_kernel(sigma)
+    dealt, tile = _tiles(field, columns, taps[-1][0], tile)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = _Tile(pdf, taps[-1][0], tile)
+        return pd.DataFrame({"image_id": t.image, "row": t.rows, "col": t.cols} | {c: _blurred(t.dense(c), taps)[t.own].ravel() for c in columns})
+
+    kind = field.schema["image_id"].dataType.simpleString()
+    return dealt.groupBy("image_id", "tr", "tc").applyInPandas(run, f"image_id {kind}, row int, col int, " + ", ".join(f"`{c}` double" for c in columns))
+
+
+def _blur_by_rows(field: DataFrame, sigma: float, columns: tuple[str, ...]) -> DataFrame:
     kernel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in gaussian_kernel(sigma)])
     size = field.groupBy("image_id").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
     out = field.select("image_id", "row", "col", *columns).join(size, "image_id")
@@ -91,7 +134,7 @@ def structure_tensor(field: DataFrame, sigma: float, backend: str = "tile") -> D
         return multiscale_structure_tensor(field, (sigma,)).drop("scale_idx", "sigma")
     g = scharr(field)
     products = g.select("image_id", "row", "col", (F.col("gx") * F.col("gx")).alias("jxx"), (F.col("gx") * F.col("gy")).alias("jxy"), (F.col("gy") * F.col("gy")).alias("jyy"))
-    return _orientation(gaussian_blur(products, sigma, ("jxx", "jxy", "jyy")))
+    return _orientation(gaussian_blur(products, sigma, ("jxx", "jxy", "jyy"), "relational"))
 
 
 def _blurred(x: np.ndarray, kernel: list[tuple[int, float]]) -> np.ndarray:
@@ -112,36 +155,26 @@ def multiscale_structure_tensor(field: DataFrame, sigmas: tuple[float, ...] = SC
     """scale_idx, sigma and the structure tensor of each pixel and scale; the gradient is made once."""
     kernels = [gaussian_kernel(s) for s in sigmas]
     halo = 1 + max(k[-1][0] for k in kernels)
-    tile = max(tile, halo)
-    size = field.groupBy("image_id").agg(F.max("row").alias("h"), F.max("col").alias("w"))
-    spread = lambda axis: F.sequence(F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / tile)).cast("int"), F.floor((F.col(axis) + halo) / tile).cast("int"))
-    dealt = field.select("image_id", "row", "col", "value").join(size, "image_id")
-    dealt = dealt.withColumn("tr", F.explode(spread("row"))).withColumn("tc", F.explode(spread("col")))
-    dealt = dealt.where((F.col("tr") * tile <= F.col("h")) & (F.col("tc") * tile <= F.col("w")))
+    dealt, tile = _tiles(field, ("value",), halo, tile)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w, tr, tc = (int(pdf[c].iloc[0]) for c in ("h", "w", "tr", "tc"))
-        r0, c0 = max(0, tr * tile - halo), max(0, tc * tile - halo)
-        r1, c1 = min(h, (tr + 1) * tile - 1 + halo), min(w, (tc + 1) * tile - 1 + halo)
-        v = np.zeros((r1 - r0 + 1, c1 - c0 + 1))
-        v[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = pdf["value"].to_numpy()
+        t = _Tile(pdf, halo, tile)
+        v = t.dense("value")
         gx, gy = np.zeros_like(v), np.zeros_like(v)
         if min(v.shape) > 2:
             d, s = v[:, 2:] - v[:, :-2], 3 * v[:, :-2] + 10 * v[:, 1:-1] + 3 * v[:, 2:]
             gx[1:-1, 1:-1] = (3 * d[:-2] + 10 * d[1:-1] + 3 * d[2:]) / 32
             gy[1:-1, 1:-1] = (s[2:] - s[:-2]) / 32
-        own = np.s_[tr * tile - r0 : min(h + 1, (tr + 1) * tile) - r0, tc * tile - c0 : min(w + 1, (tc + 1) * tile) - c0]
-        rows, cols = np.mgrid[tr * tile : min(h + 1, (tr + 1) * tile), tc * tile : min(w + 1, (tc + 1) * tile)]
         out = []
         for i, (sigma, kernel) in enumerate(zip(sigmas, kernels, strict=True)):
-            a, b, c = (_blurred(x, kernel)[own].ravel() for x in (gx * gx, gx * gy, gy * gy))
+            a, b, c = (_blurred(x, kernel)[t.own].ravel() for x in (gx * gx, gx * gy, gy * gy))
             root = np.sqrt((a - c) ** 2 + 4 * b * b)
             l1, l2 = (a + c + root) / 2, (a + c - root) / 2
             total = l1 + l2
             theta = 0.5 * np.arctan2(2 * b, a - c) + np.pi / 2
             theta -= np.pi * np.floor(theta / np.pi)
             theta[theta >= np.pi] = 0.0
-            out.append(pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "row": rows.ravel(), "col": cols.ravel(), "scale_idx": i, "sigma": float(sigma), "jxx": a, "jxy": b, "jyy": c, "lambda1": l1, "lambda2": l2, "coherence": np.divide(l1 - l2, total, out=np.zeros_like(total), where=total > 1e-15), "theta": theta}))
+            out.append(pd.DataFrame({"image_id": t.image, "row": t.rows, "col": t.cols, "scale_idx": i, "sigma": float(sigma), "jxx": a, "jxy": b, "jyy": c, "lambda1": l1, "lambda2": l2, "coherence": np.divide(l1 - l2, total, out=np.zeros_like(total), where=total > 1e-15), "theta": theta}))
         return pd.concat(out)
 
     kind = field.schema["image_id"].dataType.simpleString()
@@ -176,9 +209,13 @@ def grid_defects(field: DataFrame, k: int = 2, threshold: float = PI / 2) -> Dat
     return two.where(F.abs("winding") > threshold).withColumn("charge", F.signum("winding") / k)
 
 
-def poincare_hopf(defects: DataFrame, chi: float, tolerance: float = 0.1) -> DataFrame:
-    """total, deviation and valid of each image."""
+def poincare_hopf(defects: DataFrame, chi: float, tolerance: float = 0.1, images: DataFrame | None = None) -> DataFrame:
+    """total, deviation and valid of each image of `images` (image_id); an image without defects has a total of 0.
+
+    Without `images` only those with defects are known."""
     out = defects.groupBy("image_id").agg(F.sum("charge").alias("total"))
+    if images is not None:
+        out = images.select("image_id").distinct().join(out, "image_id", "left").fillna(0.0, ["total"])
     return out.select("image_id", "total", F.abs(F.col("total") - chi).alias("deviation"), (F.abs(F.col("total") - chi) < tolerance).alias("valid"))
 
 

@@ -41,7 +41,8 @@ def contour_centroid(s, d):
 
 
 def w1_elongation(s, d):
-    return rounded(_shapes(s, d).select("contour_id", "w1_xx", "w1_xy", "w1_yy", "elongation"))
+    axis = [(F.col("elongation") * f(2.0 * F.col("elongation_angle"))).alias(n) for f, n in ((F.cos, "qx"), (F.sin, "qy"))]
+    return rounded(_shapes(s, d).select("contour_id", "w1_xx", "w1_xy", "w1_yy", "elongation", *axis))
 
 
 def shape_index(s, d):
@@ -67,7 +68,8 @@ def convexity(s, d):
 
 def nuclear_ellipse(s, d):
     e = labels.fit_ellipses(A.mask(s, d))
-    return rounded(e.select("label", "n_pixels", "centroid_row", "centroid_col", "semi_major", "semi_minor", "aspect_ratio"))
+    axis = [((F.col("semi_major") ** 2 - F.col("semi_minor") ** 2) / 4.0 * f(2.0 * F.col("angle"))).alias(n) for f, n in ((F.cos, "qx"), (F.sin, "qy"))]
+    return rounded(e.select("label", "n_pixels", "centroid_row", "centroid_col", "semi_major", "semi_minor", "aspect_ratio", *axis))
 
 
 def cell_orientation(s, d):
@@ -79,9 +81,7 @@ def cell_mean_coherence(s, d):
 
 
 def mean_katic_order(s, d):
-    m = A.mask(s, d).where("label > 0")
-    one = [labels.mean_katic_order(m, k, "label").withColumnRenamed("order", f"psi{k}") for k in (1, 2, 4, 6)]
-    return rounded(one[0].join(one[1], "label").join(one[2], "label").join(one[3], "label"))
+    return rounded(labels.mean_katic_orders(A.mask(s, d).where("label > 0"), (1, 2, 4, 6), "label"))
 
 
 def gaussian_blur(s, d):
@@ -192,9 +192,12 @@ def activity(s, d):
     return rounded(n.select("condition", theory.activity(F.col("n").cast("double"), F.lit(1000.0), F.lit(0.1)).alias("zeta")))
 
 
+def parameter_bundle_rows(s, d):
+    return theory.parameter_bundle(theory.ldg_params(_ordered(s, d), 10.0), stencil.frank_grid(A.pixels(s, d)), stencil.grid_defects(A.pixels(s, d)), 1000.0)
+
+
 def parameter_bundle(s, d):
-    out = theory.parameter_bundle(theory.ldg_params(_ordered(s, d), 10.0), stencil.frank_grid(A.pixels(s, d)), stencil.grid_defects(A.pixels(s, d)), 1000.0)
-    return rounded(out.drop("json", "image_id"), 3)
+    return rounded(parameter_bundle_rows(s, d).drop("json", "image_id"), 3)
 
 
 def cell_nucleus_join(s, d):
@@ -315,7 +318,7 @@ SQL = {
     "nematic_order": f"WITH {CE}, s AS (SELECT condition, count(*) AS n, avg(cos(2 * t)) AS x, avg(sin(2 * t)) AS y FROM ce GROUP BY condition) SELECT condition, n, {_q('sqrt(x * x + y * y)')} AS \"order\", {_q('x')} AS qx, {_q('y')} AS qy FROM s WHERE n >= 2",
     "shape_area_perimeter": f"WITH {RG} SELECT id AS contour_id, count(*) AS n_points, {_q('abs(0.5 * sum(x * ny - nx * y))')} AS area, {_q('sum(len)')} AS perimeter, {_q('0.5 * sum(x * ny - nx * y)')} AS signed_area FROM e GROUP BY id",
     "contour_centroid": f"WITH {RG} SELECT id AS contour_id, {_q('cx')} AS centroid_x, {_q('cy')} AS centroid_y FROM m",
-    "w1_elongation": f"WITH {RG}, w AS (SELECT id, 0.5 * coalesce(sum(dy * dy / len), 0) AS a, -0.5 * coalesce(sum(dx * dy / len), 0) AS b, 0.5 * coalesce(sum(dx * dx / len), 0) AS d FROM e WHERE len >= 1e-15 GROUP BY id) SELECT id AS contour_id, {_q('a')} AS w1_xx, {_q('b')} AS w1_xy, {_q('d')} AS w1_yy, {_q('CASE WHEN a + d > 1e-15 THEN sqrt(power(a - d, 2) + 4 * b * b) / (a + d) ELSE 0 END')} AS elongation FROM w",
+    "w1_elongation": f"WITH {RG}, w AS (SELECT id, 0.5 * coalesce(sum(dy * dy / len), 0) AS a, -0.5 * coalesce(sum(dx * dy / len), 0) AS b, 0.5 * coalesce(sum(dx * dx / len), 0) AS d FROM e WHERE len >= 1e-15 GROUP BY id) SELECT id AS contour_id, {_q('a')} AS w1_xx, {_q('b')} AS w1_xy, {_q('d')} AS w1_yy, {_q('CASE WHEN a + d > 1e-15 THEN sqrt(power(a - d, 2) + 4 * b * b) / (a + d) ELSE 0 END')} AS elongation, {_q('CASE WHEN a + d > 1e-15 THEN (a - d) / (a + d) ELSE 0 END')} AS qx, {_q('CASE WHEN a + d > 1e-15 THEN 2 * b / (a + d) ELSE 0 END')} AS qy FROM w",
     "shape_index": f"WITH {RG}, w AS (SELECT id, abs(0.5 * sum(x * ny - nx * y)) AS a, sum(len) AS p FROM e GROUP BY id) SELECT id AS contour_id, {_q('CASE WHEN a < 1e-15 THEN 0 ELSE p / sqrt(a) END')} AS shape_index FROM w",
     "shape_katic_spectrum": f"WITH {RG} SELECT id AS contour_id, {', '.join(_q(KAT(k)) + f' AS q{k}' for k in (1, 2, 4, 6))} FROM e GROUP BY id",
     "fourier_spectrum": f"WITH {RG} SELECT id AS contour_id, {', '.join(_q(f'{FOU(k)} / avg(rad)') + f' AS a{k}' for k in (1, 2, 3, 4, 6))} FROM f GROUP BY id",
@@ -324,7 +327,7 @@ SQL = {
  WHERE NOT EXISTS (SELECT 1 FROM p z WHERE z.id = a.id AND (z.x <> a.x OR z.y <> a.y) AND (z.x <> b.x OR z.y <> b.y) AND ((b.x - a.x) * (z.y - a.y) - (b.y - a.y) * (z.x - a.x) < -1e-9
    OR (abs((b.x - a.x) * (z.y - a.y) - (b.y - a.y) * (z.x - a.x)) <= 1e-9 AND ((z.x - a.x) * (z.x - b.x) + (z.y - a.y) * (z.y - b.y)) > 0))) GROUP BY a.id),
  s AS (SELECT id, abs(0.5 * sum(x * ny - nx * y)) AS ar FROM e GROUP BY id) SELECT id AS contour_id, {_q('ar')} AS area, {_q('ha')} AS hull_area, {_q('CASE WHEN ha < 1e-15 THEN 0 ELSE ar / ha END')} AS convexity FROM s JOIN h USING (id)""",
-    "nuclear_ellipse": f"WITH {MK}, {ELL('')} SELECT label, n_pixels, {_q('cr')} AS centroid_row, {_q('cc')} AS centroid_col, {_q('2 * sqrt(l1)')} AS semi_major, {_q('2 * sqrt(l2)')} AS semi_minor, {_q('sqrt(l1) / sqrt(l2)')} AS aspect_ratio FROM ev WHERE l2 >= 1e-15",
+    "nuclear_ellipse": f"WITH {MK}, {ELL('')} SELECT label, n_pixels, {_q('cr')} AS centroid_row, {_q('cc')} AS centroid_col, {_q('2 * sqrt(l1)')} AS semi_major, {_q('2 * sqrt(l2)')} AS semi_minor, {_q('sqrt(l1) / sqrt(l2)')} AS aspect_ratio, {_q('a - d')} AS qx, {_q('2 * b')} AS qy FROM ev WHERE l2 >= 1e-15",
     "cell_orientation": f"WITH {MK}, o AS (SELECT label, sum(h * cos(2 * t)) AS x, sum(h * sin(2 * t)) AS y FROM mk WHERE label > 0 GROUP BY label) SELECT label, {_q('x / sqrt(x * x + y * y)', 5)} AS c2, {_q('y / sqrt(x * x + y * y)', 5)} AS s2 FROM o",
     "cell_mean_coherence": f"WITH {MK} SELECT label, {_q('avg(h)')} AS mean_coherence FROM mk WHERE label > 0 GROUP BY label",
     "mean_katic_order": f"WITH {MK} SELECT label, {', '.join(_q(f'sqrt(power(avg(h * cos({k} * t)), 2) + power(avg(h * sin({k} * t)), 2))') + f' AS psi{k}' for k in (1, 2, 4, 6))} FROM mk WHERE label > 0 GROUP BY label",

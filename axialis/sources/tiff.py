@@ -4,45 +4,121 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stencil import normalised
+from .shared import filesystem, single_file
 
 CHANNELS = {"dapi": 0, "vimentin": 1}
-# fixed values of the TIFF 6.0 format: field type sizes and tags
-TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, STRIP_ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 339
+# fixed values of the TIFF 6.0 format (and BigTIFF): field type sizes, tags, compressions
+TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
+WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, STRIP_ROWS, COUNTS = 256, 257, 258, 259, 273, 277, 278, 279
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 284, 317, 322, 323, 324, 325, 339
+PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+
+
+def unpacked_bits(data: bytes) -> bytes:
+    """PackBits: a length byte, then literal bytes or one byte to repeat."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpacked_lzw(data: bytes) -> bytes:
+    """LZW as in TIFF: codes of 9 to 12 bits, high bits first, the width growing one code early."""
+    out, at, width = bytearray(), 0, 9
+    table, last = [], b""
+    bits, have = 0, 0
+    for byte in data:
+        bits, have = bits << 8 | byte, have + 8
+        if have < width:
+            continue
+        have -= width
+        code, bits = bits >> have, bits & ((1 << have) - 1)
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if code == 257:
+            break
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if last:
+            table.append(last + word[:1])
+            at = len(table) + 1
+            width = 9 if at < 512 else 10 if at < 1024 else 11 if at < 2048 else 12
+        last = word
+    return bytes(out)
+
+
+DECODE = {PLAIN: bytes, LZW: unpacked_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpacked_bits}
+
+
+def _tags(data: bytes, order: str, big: bool, at: int) -> tuple[dict[int, tuple], int]:
+    """The integer fields of the directory at a place, and the place of the next."""
+    head, entry, many, here = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
+    n = struct.unpack_from(order + head, data, at)[0]
+    at += struct.calcsize("=" + head)
+    tags = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HH" + many, data, at + entry * k)
+        where = at + entry * k + 4 + here
+        if TYPE_SIZE.get(kind, 1) * count > here:
+            where = struct.unpack_from(order + many, data, where)[0]
+        if kind in (1, 3, 4, 16):
+            tags[tag] = struct.unpack_from(order + str(count) + {1: "B", 3: "H", 4: "I", 16: "Q"}[kind], data, where)
+    return tags, struct.unpack_from(order + many, data, at + entry * n)[0]
+
+
+def _page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
+    one = lambda tag, default=1: tags.get(tag, (default,))[0]
+    w, h, samples, packed = one(WIDTH), one(HEIGHT), one(SAMPLES), one(COMPRESSION)
+    if packed not in DECODE or one(PREDICTOR) not in (1, 2):
+        raise ValueError(f"compression {packed} with predictor {one(PREDICTOR)} isn't read")
+    kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[one(FORMAT)] + str(one(BITS) // 8))
+    planes, deep = (samples, 1) if one(PLANAR) == 2 else (1, samples)
+    tiled = TILE_OFFSETS in tags
+    th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(STRIP_ROWS, h), h), w)
+    offsets = tags[TILE_OFFSETS if tiled else OFFSETS]
+    counts = tags.get(TILE_COUNTS if tiled else COUNTS, (w * h * deep * kind.itemsize,))
+    down, across = -(-h // th), -(-w // tw)
+    out = np.zeros((planes, down * th, across * tw, deep))
+    for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
+        plane, part = divmod(k, down * across)
+        row, col = part // across * th, part % across * tw
+        rows = th if tiled else min(th, h - row)
+        got = np.frombuffer(DECODE[packed](data[offset : offset + count]), kind, rows * tw * deep).reshape(rows, tw, deep)
+        if one(PREDICTOR) == 2:
+            got = np.cumsum(got, axis=1, dtype=kind)
+        out[plane, row : row + rows, col : col + tw] = got
+    out = out[:, :h, :w]
+    return out[0, :, :, 0] if samples == 1 else out[0] if planes == 1 else np.moveaxis(out[..., 0], 0, 2)
 
 
 def pages(data: bytes) -> list[np.ndarray]:
-    """All pages of an uncompressed, single-sample, stripped baseline TIFF."""
+    """All pages of a TIFF or BigTIFF file as (rows, cols) or (rows, cols, samples): in strips or tiles, plain or packed
+    by LZW, deflate or PackBits, with the horizontal predictor or without."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+    kind = struct.unpack_from(order + "H", data, 2)[0] if order else 0
+    if kind not in (42, 43):
         raise ValueError("not a TIFF file")
-    at, out = struct.unpack_from(order + "I", data, 4)[0], []
+    at, out = struct.unpack_from(order + "I", data, 4)[0] if kind == 42 else struct.unpack_from(order + "Q", data, 8)[0], []
     while at:
-        tags = {}
-        n = struct.unpack_from(order + "H", data, at)[0]
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            where = at + 2 + 12 * k + 8
-            if TYPE_SIZE.get(kind, 1) * count > 4:
-                where = struct.unpack_from(order + "I", data, where)[0]
-            if kind in (1, 3, 4):
-                tags[tag] = struct.unpack_from(order + str(count) + {1: "B", 3: "H", 4: "I"}[kind], data, where)
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-        if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1:
-            raise ValueError("only uncompressed images of one sample are read")
-        kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]] + str(tags.get(BITS, (1,))[0] // 8)
-        offsets = tags[OFFSETS]
-        w, h = tags[WIDTH][0], tags[HEIGHT][0]
-        counts = tags.get(COUNTS, (w * h * int(kind[1:]),))
-        raw = b"".join(data[o : o + c] for o, c in zip(offsets, counts, strict=True))
-        out.append(np.frombuffer(raw, np.dtype(order + kind), w * h).reshape(h, w).astype(float))
+        tags, at = _tags(data, order, kind == 43, at)
+        out.append(_page(data, order, tags))
     return out
 
 
@@ -70,28 +146,59 @@ def discover_tiffs(spark: SparkSession, folder: str, pattern: str = "*.tif") ->
 
 
 def load_tiffs(spark: SparkSession, folder: str, channels: dict[str, int] | None = None, pattern: str = "*.tif", normalise: bool = True) -> dict[str, DataFrame]:
-    """Pixel rows (image_id = path, row, col, value) of each channel; a missing page is an error. A task a file."""
+    """Pixel rows (image_id = path, row, col, value) of each channel; a missing page is an error.
+
+    Each channel's frame decodes the files anew, as frames are lazy; persist what is used more than once."""
     channels = channels or CHANNELS
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
-    def run(batches):
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = pages(data)
-                for name, page in channels.items():
+    def reader(name: str, page: int):
+        def run(batches):
+            for batch in batches:
+                for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    got = pages(data)
                     if page >= len(got):
                         raise ValueError(f"{path} has no page {page} for {name}")
+                    if got[page].ndim != 2:
+                        raise ValueError(f"page {page} of {path} has more than one sample a pixel")
                     h, w = got[page].shape
                     for top in range(0, h, 256):
                         part = got[page][top : top + 256]
                         r, c = np.mgrid[top : top + len(part), :w]
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * part.size), pa.array([name] * part.size), pa.array(r.ravel(), pa.int32()), pa.array(c.ravel(), pa.int32()), pa.array(part.ravel())], ["image_id", "channel", "row", "col", "value"])
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * part.size), pa.array(r.ravel(), pa.int32()), pa.array(c.ravel(), pa.int32()), pa.array(part.ravel())], ["image_id", "row", "col", "value"])
 
-    every = files.mapInArrow(run, "image_id string, channel string, row int, col int, value double")
-    out = {n: every.where(F.col("channel") == n).drop("channel") for n in channels}
+        return run
+
+    out = {n: files.mapInArrow(reader(n, k), "image_id string, row int, col int, value double") for n, k in channels.items()}
     return {n: normalised(f) for n, f in out.items()} if normalise else out
 
 
+def write_tiffs(pixels: DataFrame, folder: str, columns: tuple[str, ...]) -> DataFrame:
+    """Writes each image (image_id is the file's name, row, col and a column of integers a page) as a TIFF; a task an image.
+
+    Returns image_id and length of each file. A file is written under a name of the task's own, then renamed."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        where, top = filesystem(folder)
+        name = pdf["image_id"].iloc[0]
+        shape = (int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1)
+        images = []
+        for c in columns:
+            image = np.zeros(shape, np.int64)
+            image[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf[c].to_numpy()
+            images.append(image)
+        data, own = tiff_bytes(images), f"{top}/.{name}-{uuid.uuid4().hex}"
+        where.create_dir(top, recursive=True)
+        with where.open_output_stream(own) as sink:
+            sink.write(data)
+        where.move(own, f"{top}/{name}")
+        return pd.DataFrame({"image_id": [name], "length": [len(data)]})
+
+    rows = pixels.select("image_id", "row", "col", *columns).groupBy("image_id").applyInPandas(run, "image_id string, length long")
+    rows.write.mode("overwrite").parquet(f"{folder}/_written")
+    return pixels.sparkSession.read.parquet(f"{folder}/_written")
+
+
 def file_metadata(path: Column) -> Column:
     """row letter, well number and channel part of names such as c05_dapi-vim.tif."""
     name = F.regexp_extract(path, r"([^/]+)\.tiff?$", 1)
@@ -101,7 +208,7 @@ def file_metadata(path: Column) -> Column:
 
 def with_plate(images: DataFrame, plate: DataFrame) -> DataFrame:
     """Joins a plate map (well_row, well_from, well_to, treatment, substrate) to images with well_row and well."""
-    own = images.join(F.broadcast(plate), "well_row", "left")
+    own = images.join(plate, "well_row", "left")
     return own.where(F.col("well_from").isNull() | F.col("well").between(F.col("well_from"), F.col("well_to")))
 
 
@@ -114,9 +221,13 @@ def summary(cells: DataFrame, defects: DataFrame, frank: DataFrame) -> DataFrame
 
 
 def write_report(summaries: DataFrame, folder: str) -> DataFrame:
-    """One JSON line a condition: condition, n_images, summaries; returns what it wrote."""
+    """Writes summary.json, one object with n_images and the summaries of each condition; returns those as rows."""
     out = summaries.groupBy("condition").agg(F.count("*").alias("n_images"), F.array_sort(F.collect_list("summary")).alias("summaries"))
-    out.write.mode("overwrite").json(folder)
+    entry = F.struct("condition", F.struct("n_images", "summaries"))
+    whole = out.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry))), {"pretty": "true"}).alias("value"))
+    part = f"{folder.rstrip('/')}/.summary-{uuid.uuid4().hex}"
+    whole.coalesce(1).write.text(part)
+    single_file(out.sparkSession, part, f"{folder.rstrip('/')}/summary.json")
     return out
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from axialis.plans import queries as Q
+from axialis.plans import registry
 
 
 @pytest.fixture(scope="session")
@@ -16,9 +17,9 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", list(Q.SQL))
+@pytest.mark.parametrize("name", list(registry.SQL))
 def test_rows_agree(spark, duck, sf_dir, name):
-    got, want = Q.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(Q.SQL[name]).df()
+    got, want = registry.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(registry.SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns) and len(got) == len(want)
     got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
