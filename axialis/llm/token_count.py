@@ -10,8 +10,6 @@ are ignored; special strings inside a text are read as the library reads them by
 
 from __future__ import annotations
 
-from itertools import chain
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -41,7 +39,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def run(batches):
         tok, marks, memo = kept_in_process(f"count:{path}", make)
         for batch in text_chunks(batches):
-            counts, split, slow, slow_at = [0] * batch.num_rows, [], [], []
+            counts, slow, slow_at = [0] * batch.num_rows, [], []
+            memo.trim()
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if NOT_PLAIN.search(text) or ("<" in text and marks.search(text)):
                     slow.append(text)
@@ -49,11 +48,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 else:
                     words = WORD_SPLIT.findall(text.lower())
                     rest = [w for w in words if w not in whole]
-                    counts[i] = len(words) - len(rest)
-                    split.append((i, rest))
-            memo.learn(chain.from_iterable(rest for _, rest in split))
-            for i, rest in split:
-                counts[i] += sum(map(memo.__getitem__, rest))
+                    counts[i] = len(words) - len(rest) + sum(map(memo.__getitem__, rest))
             for i, got in zip(slow_at, tok.encode_batch(slow, add_special_tokens=False) if slow else [], strict=True):
                 counts[i] = len(got.ids)
             n = pc.binary_length(batch.column(1)).cast(pa.int64())

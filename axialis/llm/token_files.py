@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +49,13 @@ def encoder(path: str, end: int):
 
     def run(texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        plain, slow = [], []
+        slow = []
+        memo.trim()
         for i, text in enumerate(texts):
             if NOT_PLAIN.search(text) or ("<" in text and marks.search(text)):
                 slow.append(i)
             else:
-                plain.append((i, BYTE_SPLIT.findall(text)))
-        memo.learn(chain.from_iterable(words for _, words in plain))
-        for i, words in plain:
-            out[i] = b"".join(map(memo.__getitem__, words)) + stop
+                out[i] = b"".join(map(memo.__getitem__, BYTE_SPLIT.findall(text))) + stop
         if slow:
             for i, got in zip(slow, tok.encode_batch([texts[i] for i in slow], add_special_tokens=False), strict=True):
                 out[i] = as_bytes(got.ids) + stop

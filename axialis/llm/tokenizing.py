@@ -54,24 +54,22 @@ def kept_in_process(key: str, make):
 
 
 class Memo(dict):
-    """Pre-token to value, at most CACHE of them and those of one chunk; misses are encoded together.
+    """Pre-token to value, each encoded when first asked for; between chunks at most CACHE of them are kept.
 
-    When full, the later half goes: common words come early, so the earlier half has them."""
+    When full, the later part goes: common words come early, so the earlier half of CACHE has them."""
 
     def __init__(self, encode, value):
         super().__init__()
         self.encode, self.value = encode, value
 
-    def learn(self, tokens) -> None:
-        tokens = set(tokens)
-        new = list(tokens.difference(self))
-        if len(self) + len(new) > CACHE:
-            for _ in range(min(len(self) // 2, len(self) + len(new) - CACHE // 2)):
+    def __missing__(self, token):
+        out = self[token] = self.value(self.encode(token))
+        return out
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            for _ in range(len(self) - CACHE // 2):
                 self.popitem()
-            new = list(tokens.difference(self))
-        encode, value = self.encode, self.value
-        for token in new:
-            self[token] = value(encode(token))
 
 
 def as_bytes(ids) -> bytes:

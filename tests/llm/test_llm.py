@@ -301,10 +301,13 @@ def test_token_files_in_another_order(spark, tmp_path, monkeypatch):
 
 def test_memo_keeps_early_words(monkeypatch):
     monkeypatch.setattr(tokenizing, "CACHE", 10)
-    memo = tokenizing.Memo(len, str)
-    for k in range(20):
-        memo.learn(["a", "b" * (k + 1)])
+    asked = []
+    memo = tokenizing.Memo(lambda t: asked.append(t) or len(t), str)
+    for k in range(30):
+        memo.trim()
+        assert len(memo) <= 10
         assert memo["a"] == "1" and memo["b" * (k + 1)] == str(k + 1)
+    assert asked.count("a") == 1 and len(asked) == 31
 
 
 def components_by_hand(rows):
