@@ -31,9 +31,9 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    r = line.select(F.col("l_orderkey").alias("contour_id"), F.row_number().over(order).alias("seq"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"), "l_quantity").where("n >= 3")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contour_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    order = Window.partitionBy("contour_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    r = line.select("contour_id", F.row_number().over(order).alias("seq"), F.count("*").over(Window.partitionBy("contour_id")).alias("n"), "l_quantity").where("n >= 3")
     x, y = polar_ring(F.col("n"), F.col("seq"), F.col("l_quantity"))
     return r.select("contour_id", "seq", x.alias("x"), y.alias("y"))
 
