@@ -14,6 +14,8 @@ NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x7f\xa1\xab\xbb\xbf\xc0-įı-ňŊ-ž]")
 BYTE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 WORD_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 CACHE = 400_000
+KEPT_MOST = 4
+KEPT: dict = {}
 
 
 def load(path: str):
@@ -44,13 +46,12 @@ def by_model(tokenizer):
 
 
 def kept_in_process(key: str, make):
-    """make()'s result, kept by this Python process for later tasks of any job with the same key."""
-    import tokenizers
-
-    store = tokenizers.__dict__.setdefault("_axialis_kept", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """make()'s result, kept by this Python process for later tasks with the same key; at most KEPT_MOST results."""
+    if key not in KEPT:
+        while len(KEPT) >= KEPT_MOST:
+            KEPT.pop(next(iter(KEPT)))
+        KEPT[key] = make()
+    return KEPT[key]
 
 
 class Memo(dict):
