@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+#: The same words in SQL, of a column named text.
+WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _LOCAL: list[str] = []
 _PATHS: dict[int, str] = {}
 

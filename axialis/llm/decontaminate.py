@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import filter_texts, mix64, shingle_hashes, stored, text_chunks, word_hashes
+from .common import WORDS_SQL, filter_texts, mix64, shingle_hashes, stored, text_chunks, word_hashes
 
 STRIDE = 4
 SIZES = {STRIDE: (8, 12, 16, 20, 24, 32, 48, 64, 96, 128), 1: (5, 6, 7, 8, 10)}
@@ -300,3 +300,18 @@ def _without(docs: DataFrame, ids: list, texts: list[str], radius: int, least: f
         return judge
 
     return filter_texts(docs, make, 1 << 20)
+
+
+# Every item-sized window that has a shingle of an item, by counting.
+CONTAMINATION_SQL = f"""
+WITH b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT item_id, len(w) - 4 AS width, sh, count(*) AS n FROM (SELECT item_id, w, array_to_string(w[k : k + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM b WHERE len(w) >= 5)) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (SELECT rid, len(w) - 4 AS total, k - 1 AS pos, array_to_string(w[k : k + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
+h AS (SELECT s.rid, i.item_id, total, width, pos, sh, n FROM s JOIN i USING (sh)),
+f AS (SELECT h.* FROM h JOIN (SELECT rid, item_id FROM h GROUP BY ALL HAVING count(*) >= 0.4 * least(any_value(width), any_value(total))) USING (rid, item_id)),
+x AS (SELECT rid, item_id, width, total, n, sh, unnest(range(greatest(0, pos - width + 1), least(pos, greatest(0, total - width)) + 1)) AS p FROM f),
+o AS (SELECT rid, item_id, width, total, p, sum(low) AS low FROM (SELECT rid, item_id, width, total, p, least(count(*), any_value(n)) AS low FROM x GROUP BY rid, item_id, width, total, p, sh) GROUP BY ALL),
+z AS (SELECT rid, item_id, p, low / (width + least(width, total) - low)::DOUBLE AS similarity FROM o)
+SELECT d.doc_id, item_id, round(max(similarity), 9) AS similarity, arg_min(p, (-similarity, p)) AS at_word, count(*) AS n_windows FROM z JOIN d USING (rid) WHERE similarity >= 0.8 GROUP BY rid, d.doc_id, item_id
+"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, discard, mix64, salted_join, shingle_hashes, skew_join, stored, text_chunks, top_keys, word_hashes
+from .common import WORDS_SQL, byte_chunks, discard, mix64, salted_join, shingle_hashes, skew_join, stored, text_chunks, top_keys, word_hashes
 
 BANDS = 25
 ROWS = 4
@@ -181,8 +181,9 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """th, component (the least th of those it is linked to), n_links and best of each distinct text."""
+def near_classes(docs: DataFrame, described: bool = True) -> DataFrame:
+    """th and component (the least th of those it is linked to) of each distinct text; described with class_texts,
+    similarity, n_links and best."""
     rows = docs.select(text_key().alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = rows.mapInArrow(_sign, "th binary, bands array<long>").groupBy("th").agg(F.first("bands").alias("bands"))
     signed = stored(signed, "signed")
@@ -217,31 +218,56 @@ def near_classes(docs: DataFrame) -> DataFrame:
         joined = components(more.join(own, "a").join(other, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         joined = joined.select(F.col("th").alias("component"), F.col("component").alias("least"))
         every = salted_join(every, joined, "component", "th", "left").select("th", F.coalesce("least", "component").alias("component"))
-    discard(pairs, rest, texts)
+    every = stored(every, "components")
+    if not described:
+        discard(pairs, rest, texts, signed, label, tried, more)
+        return every
     links = tried.unionByName(more)
     sides = links.select(F.col("a").alias("th"), "similarity").unionByName(links.select(F.col("b").alias("th"), "similarity"))
     sides = sides.groupBy("th").agg(F.count("*").alias("n_links"), F.max("similarity").alias("best"))
-    out = stored(every.join(sides, "th", "left").select("th", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best"), "classes")
-    discard(signed, label, tried, more)
+    near = verified(every.where("th <> component").select(F.col("th").alias("a"), F.col("component").alias("b")), texts)
+    out = every.join(sides, "th", "left").join(near.select(F.col("a").alias("th"), "similarity"), "th", "left")
+    sizes = every.groupBy("component").agg(F.count("*").alias("class_texts"))
+    out = salted_join(out, sizes, "component", "th")
+    out = stored(out.select("th", "component", "class_texts", F.coalesce("similarity", F.lit(1.0)).alias("similarity"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best"), "classes")
+    discard(pairs, rest, texts, signed, label, tried, more, every)
     return out
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, text_id (its exact class), class_id (its near-duplicate class), n_links, best of each row, ids as hex.
+    """doc_id, text_id (its exact class), class_id (its near-duplicate class: the least text_id), class_texts (distinct
+    texts of the class), similarity (to the text that class_id names), n_links, best of each row, ids as hex.
 
-    n_links counts the verified links by which the text was put into its class (links to other texts of a class that
-    no bucket or prefix had to be tried for aren't counted), best is the greatest similarity of one."""
+    n_links counts the verified links by which the text was put into its class, a spanning set of the class at least (links to
+    texts that no bucket or prefix had to be tried for aren't counted); best is the greatest similarity of one."""
     rows = docs.select("doc_id", text_key().alias("th"))
     named = salted_join(rows, near_classes(docs, **how), "th", "doc_id")
-    return named.select("doc_id", F.lower(F.hex("th")).alias("text_id"), F.lower(F.hex("component")).alias("class_id"), "n_links", F.round("best", 6).alias("best"))
+    ids = [F.lower(F.hex(c)).alias(n) for c, n in (("th", "text_id"), ("component", "class_id"))]
+    return named.select("doc_id", *ids, "class_texts", F.round("similarity", 6).alias("similarity"), "n_links", F.round("best", 6).alias("best"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of each near-duplicate class, all columns: the least doc_id, then the least text, one of equal rows."""
-    classes = near_classes(docs, **how)
+    classes = near_classes(docs, described=False, **how)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), text_key().alias("t"), F.xxhash64(*columns).alias("h"))
     keyed = docs.select(F.struct(*columns).alias("row"), order.alias("id"))
     named = salted_join(keyed.select("id", F.col("id.t").alias("th")), classes, "th", "id")
     chosen = named.groupBy("component").agg(F.min("id").alias("id")).select("id")
     return keyed.dropDuplicates(["id"]).join(chosen, "id", "left_semi").select("row.*")
+
+
+# All pairs of texts that share a shingle, and what can be reached by links.
+CLASSES_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS id FROM documents),
+t AS (SELECT id, {WORDS_SQL} AS w FROM (SELECT id, any_value(text) AS text FROM d GROUP BY id)),
+s AS (SELECT id, sh, count(*) AS n FROM (SELECT id, array_to_string(w[k : k + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM t WHERE len(w) > 0)) GROUP BY ALL),
+z AS (SELECT id, sum(n) AS size FROM s GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS low FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE 5 * low >= 4 * (x.size + y.size - low)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id AS a, id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS id, min(b) AS class_id, count(*) AS class_texts FROM r GROUP BY a)
+SELECT doc_id, d.id AS text_id, c.class_id, class_texts, round(CASE WHEN d.id = c.class_id THEN 1 ELSE coalesce(low / (x.size + y.size - low)::DOUBLE, 0) END, 6) AS similarity
+FROM d JOIN c USING (id) LEFT JOIN o ON o.a = c.class_id AND o.b = d.id LEFT JOIN z x ON x.id = d.id LEFT JOIN z y ON y.id = c.class_id
+"""

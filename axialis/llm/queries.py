@@ -31,7 +31,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    """Without n_links and best, which depend on the pairs that were tried and so aren't those of the SQL."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("n_links", "best")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +65,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_decontamination, op4_token_counts, op5_near_dedup, op6_token_files, op7_pii, op8_media, op9_quality, op10_toxicity)}
-SQL = {"op2_mixing": mixing.MIX_SQL}
+SQL = {"op1_suffix_dedup": suffix_dedup.REPEATS_SQL, "op2_mixing": mixing.MIX_SQL, "op3_decontamination": decontaminate.CONTAMINATION_SQL, "op5_near_dedup": near_dedup.CLASSES_SQL}

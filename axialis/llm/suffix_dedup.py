@@ -358,3 +358,18 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     plain = uniq.select("uid", "th", size.alias("n_bytes"), F.when(copied, size).otherwise(F.lit(0)).alias("all_gone"), copied.cast("long").alias("one_span"), kept.alias("kept"))
     out = plain.join(cut, "uid", "left").select("th", "n_bytes", F.coalesce("n_removed", "all_gone").cast("long").alias("n_removed"), F.coalesce("n_spans", "one_span").cast("long").alias("n_spans"), F.coalesce("kept_sha256", "kept").alias("kept_sha256"))
     return salted_join(keyed.select("doc_id", "th"), out, "th", "doc_id").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# Every window of 200 bytes, as hexadecimal digits, by its MD5.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, s, md5(substr(x, 2 * s + 1, 400)) AS m FROM (SELECT rid, x, unnest(range(len(x) // 2 - 199)) AS s FROM d WHERE len(x) >= 400)),
+t AS (SELECT rid, s FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+i AS (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS run FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM t)),
+p AS (SELECT rid, min(s) AS a, max(s) + 200 AS b FROM i GROUP BY rid, run),
+q AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS since FROM p),
+k AS (SELECT q.rid, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+      FROM q JOIN d ON d.rid = q.rid GROUP BY q.rid)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k ON k.rid = d.rid
+"""

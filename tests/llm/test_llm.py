@@ -148,6 +148,18 @@ def test_slices_of_the_order_have_the_scheduled_shares(spark):
                 assert words == pytest.approx(due[b][s] - due[a][s], abs=60), (slopes, a, s)
 
 
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_decontamination", "op5_near_dedup"])
+def test_sql_gives_the_same_rows(spark, sf_dir, name):
+    got = queries.QUERIES[name](spark, sf_dir).toPandas()
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    want = con.sql(queries.SQL[name]).df()[list(got.columns)]
+    cols = list(got.columns)
+    assert len(got) == len(want) > 0
+    assert got.sort_values(cols).to_numpy().tolist() == want.sort_values(cols).to_numpy().tolist()
+
+
 def test_mixing_sql(spark, sf_dir):
     got = queries.op2_mixing(spark, sf_dir).toPandas()
     con = duckdb.connect()
@@ -352,6 +364,11 @@ def test_near_duplicates(spark, edge, none):
         by_hand[c].add(t)
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, by_hand.values()))
     alone = {r["text_id"]: len(classes[r["class_id"]]) == 1 for r in got}
+    assert all(r["class_texts"] == len(classes[r["class_id"]]) for r in got)
+    for r in got:
+        a, b = (re.findall(r"\w+", text_of[r[c]].lower()) for c in ("text_id", "class_id"))
+        same = r["text_id"] == r["class_id"]
+        assert r["similarity"] == (1.0 if same else pytest.approx(likeness(Counter(shingles_of(a)), Counter(shingles_of(b))), abs=1e-6))
     assert all((r["n_links"] == 0) == alone[r["text_id"]] == (r["best"] is None) and (r["best"] or 1) >= 0.8 for r in got)
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.keep_one(edge)
