@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.axial import symmetry_order
 from ..operators import homology, labels, mesh, pairs, resample, segment, stencil
 from ..sources import tiff
 from ..sources.shared import shared_folder
@@ -175,6 +176,23 @@ def experiment_comparison(s, d):
     return rounded(_compared(s, d).compare("c0", "c1", "area", 50, 42))
 
 
+def symmetry_orders(s, d):
+    """Which orders are accepted."""
+    rows = []
+    for k in range(-2, 9):
+        try:
+            rows.append((k, symmetry_order(k) == k))
+        except ValueError:
+            rows.append((k, False))
+    return s.createDataFrame(rows, "k int, accepted boolean")
+
+
+def block_bootstrap_median(s, d):
+    """Medians of resamples, each over all its values."""
+    p = A.cells(s, d).select("x", "y", F.col("theta").alias("value"))
+    return rounded(resample.block_bootstrap_with(p, lambda v: v.median(), 250.0, 20, 42))
+
+
 def correlation_few_points(s, d):
     """Correlation of the angles of each image's twelve points."""
     p = A.scattered(s, d).withColumn("theta", F.col("x") * 0.001)
@@ -237,6 +255,11 @@ SQL = {
     "experiment_comparison": f"""WITH {SL}, p AS (SELECT 'c' || i % 2 AS g, 'c' || i % 2 || '/' || i || '/' || label AS id, area AS v FROM lb), n AS (SELECT count(*) FILTER (g = 'c0') AS na, avg(v) FILTER (g = 'c0') - avg(v) FILTER (g = 'c1') AS obs FROM p),
  d AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY {RNG.format("'42:' || rep || ':' || id")}, id) AS k FROM p, (SELECT unnest(range(50)) AS rep)), s AS (SELECT rep, avg(v) FILTER (k <= na) - avg(v) FILTER (k > na) AS diff FROM d, n GROUP BY rep)
  SELECT {_q('obs')} AS observed, {_q('(count(*) FILTER (abs(diff) >= abs(obs)) + 1) / 51.0e0')} AS p_value, 50 AS n_permutations FROM s, n GROUP BY obs""",
+    "symmetry_orders": "SELECT k::INT AS k, k >= 1 AS accepted FROM (SELECT unnest(range(-2, 9)) AS k)",
+    "block_bootstrap_median": f"""WITH {CE}, lo AS (SELECT min(x) AS x0, min(y) AS y0 FROM ce), pb AS (SELECT floor((x - x0) / 250) AS bx, floor((y - y0) / 250) AS by_, t FROM ce, lo),
+ nb AS (SELECT bx, by_, row_number() OVER (ORDER BY bx, by_) - 1 AS b FROM (SELECT DISTINCT bx, by_ FROM pb)), dr AS (SELECT rep, floor({RNG.format("'42:' || rep || ':' || slot")} * (SELECT count(*) FROM nb))::BIGINT AS b
+  FROM (SELECT unnest(range(20)) AS rep), (SELECT unnest(range((SELECT count(*) FROM nb))) AS slot))
+ SELECT rep, {_q('median(t)')} AS statistic FROM dr JOIN nb USING (b) JOIN pb ON pb.bx = nb.bx AND pb.by_ = nb.by_ GROUP BY rep""",
     "correlation_few_points": f"""WITH {MESH}, pr AS (SELECT a.i, cos(2 * (a.x - b.x) * 0.001e0) AS g, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM pt a JOIN pt b ON a.i = b.i AND a.id < b.id)
  SELECT i AS image_id, floor(d / 500)::INT AS bin, (floor(d / 500) + 0.5e0) * 500 AS r, {_q('avg(g)')} AS g, count(*) AS n FROM pr WHERE d >= 1e-15 AND d < 2000 GROUP BY i, floor(d / 500)""",
 }
