@@ -199,15 +199,15 @@ def correlation_few_points(s, d):
     return rounded(pairs.orientational_correlation(p, 2, 2000.0, 4).where("n > 0"))
 
 
-PB = "pb AS (SELECT (r // 10)::INT AS i, r % 10 AS r, c, v, t, h FROM px)"
+PB = "pb AS (SELECT (r // 10)::INT AS i, r % 10 AS r, c, r * 100 + c AS k, v, t, h FROM px)"
 FILES = "fl AS (SELECT i, substring('abcdefgh', i % 8 + 1, 1) || lpad((i // 8 % 99 + 1)::VARCHAR, 2, '0') || '_dapi-vim-' || lpad(i::VARCHAR, 5, '0') || '.tif' AS name, substring('abcdefgh', i % 8 + 1, 1) AS well_row, (i // 8 % 99 + 1)::INT AS well, 'dapi-vim-' || lpad(i::VARCHAR, 5, '0') AS channels FROM (SELECT DISTINCT i FROM pb))"
 SUMMARY = f"""{PX}, {PB},
  ml AS (SELECT i, c // 10 + 1 AS label, sqrt(power(avg(h * cos(2 * t)), 2) + power(avg(h * sin(2 * t)), 2)) AS psi FROM pb WHERE r NOT IN (0, 9) AND c % 10 NOT IN (0, 9) AND v > 20 GROUP BY 1, 2),
  cn AS (SELECT i, count(*) AS n, avg(psi) AS m FROM ml GROUP BY i),
- dq AS (SELECT p.i, {_wrap("b.t - p.t")} + {_wrap("d.t - b.t")} - {_wrap("d.t - e.t")} - {_wrap("e.t - p.t")} AS w FROM pb p JOIN pb b ON b.i = p.i AND b.r = p.r AND b.c = p.c + 1 JOIN pb d ON d.i = p.i AND d.r = p.r + 1 AND d.c = p.c + 1 JOIN pb e ON e.i = p.i AND e.r = p.r + 1 AND e.c = p.c),
+ dq AS (SELECT p.i, {_wrap("b.t - p.t")} + {_wrap("d.t - b.t")} - {_wrap("d.t - e.t")} - {_wrap("e.t - p.t")} AS w FROM pb p JOIN pb b ON b.k = p.k + 1 JOIN pb d ON d.k = p.k + 101 JOIN pb e ON e.k = p.k + 100 WHERE p.r < 9 AND p.c < 99),
  dn AS (SELECT i, count(*) AS k FROM dq WHERE abs(w) > pi() / 2 GROUP BY i),
  fq AS (SELECT p.i, (cos(e.t) - cos(w.t)) / 2 + (sin(s.t) - sin(n.t)) / 2 AS sp, (sin(e.t) - sin(w.t)) / 2 - (cos(s.t) - cos(n.t)) / 2 AS be
-   FROM pb p JOIN pb e ON e.i = p.i AND e.r = p.r AND e.c = p.c + 1 JOIN pb w ON w.i = p.i AND w.r = p.r AND w.c = p.c - 1 JOIN pb s ON s.i = p.i AND s.c = p.c AND s.r = p.r + 1 JOIN pb n ON n.i = p.i AND n.c = p.c AND n.r = p.r - 1),
+   FROM pb p JOIN pb e ON e.k = p.k + 1 JOIN pb w ON w.k = p.k - 1 JOIN pb s ON s.k = p.k + 100 JOIN pb n ON n.k = p.k - 100 WHERE p.r BETWEEN 1 AND 8 AND p.c BETWEEN 1 AND 98),
  fn AS (SELECT i, sum(sp * sp) / sum(be * be) AS q FROM fq GROUP BY i),
  sm AS (SELECT cn.i, printf('%d cells, %d defects, mean psi2 %.4f, Frank ratio %.4f', n, coalesce(k, 0), m, q) AS summary FROM cn LEFT JOIN dn ON dn.i = cn.i JOIN fn ON fn.i = cn.i)"""
 SL = """sl AS (SELECT (s_suppkey // 4)::INT AS i, (s_suppkey % 4)::INT AS k, (6 + s_nationkey % 8)::INT AS h, (6 + s_suppkey * 7 % 9)::INT AS w FROM supplier),
@@ -243,8 +243,8 @@ SQL = {
  dt AS (SELECT rch.i, rch.n, min(level) AS death FROM rch JOIN tv o ON o.i = rch.i AND o.n = rch.u AND (o.f, o.n) < (rch.f, rch.n) GROUP BY 1, 2),
  rs AS (SELECT low.i, low.f AS birth, coalesce(death, 'inf'::DOUBLE) AS death FROM low LEFT JOIN dt ON dt.i = low.i AND dt.n = low.n)
  SELECT i AS image_id, {_q('birth')} AS birth, CASE WHEN death = 'inf' THEN death ELSE {_q('death')} END AS death, 0 AS dim, CASE WHEN death = 'inf' THEN death ELSE {_q('death - birth')} END AS persistence FROM rs WHERE death - birth > 1e-15""",
-    "poincare_hopf_images": f"""WITH {PX}, {PB}, pz AS (SELECT i, r, c, CASE WHEN i % 3 = 0 THEN 0.3e0 ELSE t END AS t FROM pb),
- dq AS (SELECT p.i, {_wrap("b.t - p.t")} + {_wrap("d.t - b.t")} - {_wrap("d.t - e.t")} - {_wrap("e.t - p.t")} AS w FROM pz p JOIN pz b ON b.i = p.i AND b.r = p.r AND b.c = p.c + 1 JOIN pz d ON d.i = p.i AND d.r = p.r + 1 AND d.c = p.c + 1 JOIN pz e ON e.i = p.i AND e.r = p.r + 1 AND e.c = p.c),
+    "poincare_hopf_images": f"""WITH {PX}, {PB}, pz AS (SELECT i, r, c, k, CASE WHEN i % 3 = 0 THEN 0.3e0 ELSE t END AS t FROM pb),
+ dq AS (SELECT p.i, {_wrap("b.t - p.t")} + {_wrap("d.t - b.t")} - {_wrap("d.t - e.t")} - {_wrap("e.t - p.t")} AS w FROM pz p JOIN pz b ON b.k = p.k + 1 JOIN pz d ON d.k = p.k + 101 JOIN pz e ON e.k = p.k + 100 WHERE p.r < 9 AND p.c < 99),
  tt AS (SELECT i, coalesce(sum(sign(w) / 2) FILTER (abs(w) > pi() / 2), 0) AS total FROM dq GROUP BY i)
  SELECT i AS image_id, {_q('total')} AS total, {_q('abs(total)')} AS deviation, abs(total) < 0.1 AS valid FROM tt""",
     "permutation_median": f"""WITH p AS (SELECT event_id AS id, event_type AS g, value AS v FROM events WHERE event_type IN ('click', 'view')), n AS (SELECT count(*) FILTER (g = 'click') AS na, median(v) FILTER (g = 'click') - median(v) FILTER (g = 'view') AS obs FROM p),
