@@ -66,7 +66,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str
     """Join (inner or left) of rows with `one`, which has a row a key, so that a key of most rows isn't one task's.
 
     The distinct (key, salt) of the rows are joined first, at most `salts` a key, then the rows by both; the salt is
-    a hash of the column `spread`."""
+    a hash of the column `spread`. Rows without a key go, in a left join too."""
     rows = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     dealt = rows.select(key, "__salt").distinct().join(one, key, how)
     return rows.join(dealt, [key, "__salt"]).drop("__salt")

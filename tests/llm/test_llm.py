@@ -125,6 +125,22 @@ def test_mixing(spark, edge, none):
     assert mixing.mix_rows(blank).count() == 0 and {r["taken"] for r in mixing.mix_report(blank).collect()} == {0}
 
 
+def test_joins_with_common_keys(spark):
+    rng = random.Random(2)
+    many = spark.createDataFrame([(k, 7 if rng.random() < 0.5 else rng.randrange(40)) for k in range(3000)], "id long, key int")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(0, 40, 2)] + [(7, "v7")], "key int, value string")
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, many.join(one, "key", how).select("id", "key", "value").collect()))
+        assert Counter(map(tuple, common.salted_join(many, one, "key", "id", how).select("id", "key", "value").collect())) == want
+    want = Counter(map(tuple, many.join(one, "key").select("id", "key", "value").collect()))
+    counts = many.groupBy("key").count()
+    for share in (1000, 10):
+        top = common.top_keys(counts, "key", "count", 3000, share)
+        assert top.count() <= share and [r[0] for r in top.collect()] == [7]
+        assert Counter(map(tuple, common.skew_join(many, one, "key", top, "id").select("id", "key", "value").collect())) == want
+    assert common.skew_join(many, one, "key", counts.where("false").select("key"), "id").count() == sum(want.values())
+
+
 def test_mixing_targets(spark):
     df = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate((100, 300, 50))], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
