@@ -128,10 +128,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float
     return m
 
 
-def _features(texts: pa.Array) -> list[bytes]:
+def _features(texts: pa.Array) -> tuple[list[bytes], list[int]]:
     groups, bounds = parts(texts)
     x = np.concatenate([passages(g).astype(np.float16) for g in groups])
-    return [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+    feats = [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+    return feats, list(map(len, feats))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, limit: int = TRAIN_BYTES) -> dict | None:

@@ -14,6 +14,8 @@ any labelled row every score is 0; repeated rows are scored alike; a null doc_id
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -93,25 +95,36 @@ def labelled_sample(labels: DataFrame, label: str, keep, rows: int) -> DataFrame
 def encoded(docs: DataFrame, ids: DataFrame, encode, limit: int) -> DataFrame:
     """doc_id, y, feats of the rows of `ids` (doc_id, y) in order of their hashes, while feats is at most `limit` bytes.
 
-    encode(texts) gives the features of each text of a chunk as bytes; of rows with one id the least are taken."""
+    encode(texts) gives the features of each text of a chunk as bytes, which may be packed, and their sizes unpacked,
+    which the limit is for; of rows with one id the least are taken."""
 
     def run(batches):
         for batch in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encode(batch.column(2)), pa.binary())], ["doc_id", "y", "feats"])
+            feats, sizes = encode(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feats, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "y", "feats", "size"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
-    schema = T.StructType([picked.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("feats", T.BinaryType())])
-    one = picked.mapInArrow(run, schema).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("feats").alias("feats"))
+    schema = T.StructType([picked.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("feats", T.BinaryType()), T.StructField("size", T.LongType())])
+    one = picked.mapInArrow(run, schema).groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("feats", "size")).alias("f")).select("doc_id", "y", "f.*")
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return one.withColumn("used", F.sum(F.octet_length("feats")).over(order)).where(F.col("used") <= limit).select("doc_id", "y", "feats")
+    return one.withColumn("used", F.sum("size").over(order)).where(F.col("used") <= limit).select("doc_id", "y", "feats", "size")
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Ascending places as deflated differences."""
+    return zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int32)
 
 
-def _places(texts: pa.Array) -> list[bytes]:
+def _places(texts: pa.Array) -> tuple[list[bytes], list[int]]:
     places, rows = features(texts.to_pylist())
     key = np.unique(rows << BITS | places)
     ends = np.searchsorted(key, np.arange(len(texts) + 1) << BITS)
     flat = (key & ((1 << BITS) - 1)).astype(np.int32)
-    return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    return [packed(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], (4 * np.diff(ends)).tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, epochs: int = EPOCHS, least: int = LEAST, limit: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, float] | None:
@@ -124,11 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, epoc
     label, feats = table["y"].to_pylist(), table["feats"]
     count = np.zeros(bias, np.int32)
     for f in feats:
-        count[np.frombuffer(f.as_buffer(), np.int32)] += 1
+        count[unpacked(f.as_buffer())] += 1
     seen = count >= least
     rows_ = []
     for i in np.random.RandomState(7).permutation(len(label)):
-        f = np.frombuffer(feats[int(i)].as_buffer(), np.int32)
+        f = unpacked(feats[int(i)].as_buffer())
         rows_.append((np.append(f[seen[f]], np.int32(bias)), label[i]))
     del table, feats
     model = Ftrl(bias + 1)

@@ -570,15 +570,20 @@ def test_parts_of_long_texts(monkeypatch):
     assert np.allclose(np.concatenate([quality.passages(g) for g in cut])[:, :-1], x[:, :-1])
 
 
+def test_packed_places():
+    for places in ([], [0], [0, 1, 2**20 - 1], sorted(random.Random(1).sample(range(2**20), 3000))):
+        assert toxicity.unpacked(toxicity.packed(np.array(places, np.int32))).tolist() == places
+
+
 def test_bounded_training_rows(spark):
     docs = spark.createDataFrame([(f"id{k}", prose(50, k)) for k in range(40)], "doc_id string, text string")
     lab = spark.createDataFrame([(f"id{k}", k % 2, k % 3 == 0) for k in range(40)], "doc_id string, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
     for module, name, encode in ((toxicity, "toxic", toxicity._places), (quality, "quality", quality._features)):
         ids = toxicity.labelled_sample(lab, name, F.lit(True), 30)
         every = toxicity.encoded(docs, ids, encode, 1 << 30).collect()
-        size = sum(len(r["feats"]) for r in every)
+        size = sum(r["size"] for r in every)
         some = toxicity.encoded(docs, ids, encode, size // 2).collect()
-        assert len(every) == 30 and 5 < len(some) < 25 and sum(len(r["feats"]) for r in some) <= size // 2
+        assert len(every) == 30 and 5 < len(some) < 25 and sum(r["size"] for r in some) <= size // 2
         assert module.train(docs, lab, F.lit(True)) is not None
 
 
