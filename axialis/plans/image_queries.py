@@ -15,6 +15,9 @@ from .queries import CE, FRANK, PX, RNG, SQL as CORE_SQL, _q, _wrap, parameter_b
 PLATE = [(letter, first, last, drug, stiff) for letter, stiff in zip("abcdefgh", ("soft", "stiff") * 4, strict=True) for first, last, drug in ((1, 6, "control"), (7, 99, "drug"))]
 
 
+LEVELS = (10, 25, 50, 80, 120)
+
+
 def _files(s, d) -> str:
     folder = shared_folder(s, "tiff")
     tiff.write_tiffs(A.band_files(s, d), folder, ("dapi", "vimentin"))
@@ -138,6 +141,15 @@ def persistence_tiles(s, d):
     return rounded(homology.lifetimes(homology.persistence(_lower_star(A.tiles(s, d), 5)), 0))
 
 
+def betti_numbers(s, d):
+    """Classes of dimensions 0 and 1 of 5 x 5 images that live at some levels, from the full reduction."""
+    p = A.tiles(s, d)
+    levels = F.explode(F.array(*[F.lit(float(x)) for x in LEVELS])).alias("level")
+    diagram = homology.persistence(_lower_star(p, 5)).select("*", levels).where("birth <= level and level < death")
+    alive = diagram.groupBy("image_id", "level").agg(F.count_if(F.col("dim") == 0).alias("b0"), F.count_if(F.col("dim") == 1).alias("b1"))
+    return p.select("image_id").distinct().select("image_id", levels).join(alive, ["image_id", "level"], "left").fillna(0, ["b0", "b1"])
+
+
 def persistence_components(s, d):
     """Dimension 0 of the whole pixel grid as one image, by union-find."""
     return rounded(homology.lifetimes(homology.persistence_of_components(_lower_star(A.pixels(s, d), A.COLS))))
@@ -214,6 +226,9 @@ SL = """sl AS (SELECT (s_suppkey // 4)::INT AS i, (s_suppkey % 4)::INT AS k, (6
  rc AS (SELECT *, 4 AS r0, 24 * k + 4 AS c0 FROM sl),
  lb AS (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY r0 + h // 2 - 1, c0 + w // 2 - 1))::INT AS label, (h * w - 0.5e0) / 4 AS area, (2 * (h - 1) + 2 * (w - 1) + 4 * sqrt(0.5e0)) / 2 AS perimeter FROM rc)"""
 MESH = """pt AS (SELECT (c_custkey // 12)::INT AS i, c_custkey AS id, c_acctbal::DOUBLE AS x, (c_custkey * c_custkey * 31 % 10007) / 10.0e0 AS y FROM customer)"""
+TILES = f"""{PX}, tv AS (SELECT (r // 5 * 20 + c // 5)::INT AS i, (r % 5) * 5 + c % 5 AS n, v AS f FROM px),
+ se AS (SELECT a.i, a.n AS a, b.n AS b, greatest(a.f, b.f) AS f FROM tv a JOIN tv b ON b.i = a.i AND ((b.n = a.n + 1 AND a.n % 5 < 4) OR b.n = a.n + 5 OR (b.n = a.n + 6 AND a.n % 5 < 4))),
+ ad AS (SELECT i, a, b FROM se UNION ALL SELECT i, b, a FROM se)"""
 SQL = {
     "field_check": f"WITH {PX}, {PB} SELECT i AS image_id, count(*) AS n, count(DISTINCT (r, c)) AS \"distinct\", count(*) AS inside FROM pb WHERE v <= 95 GROUP BY i HAVING count(*) <> 1000",
     "zero_field": "SELECT 0 AS image_id, r::INT AS \"row\", c::INT AS col, 0.0e0 AS value FROM (SELECT unnest(range(30)) AS r), (SELECT unnest(range(40)) AS c)",
@@ -234,9 +249,14 @@ SQL = {
  SELECT i AS image_id, v0, v1, v2 FROM tr WHERE o <> 0 AND NOT EXISTS (SELECT 1 FROM pt p WHERE p.i = tr.i AND p.id NOT IN (v0, v1, v2) AND o * (
    (power(x0 - p.x, 2) + power(y0 - p.y, 2)) * ((x1 - p.x) * (y2 - p.y) - (x2 - p.x) * (y1 - p.y)) - (power(x1 - p.x, 2) + power(y1 - p.y, 2)) * ((x0 - p.x) * (y2 - p.y) - (x2 - p.x) * (y0 - p.y))
    + (power(x2 - p.x, 2) + power(y2 - p.y, 2)) * ((x0 - p.x) * (y1 - p.y) - (x1 - p.x) * (y0 - p.y))) > 0)""",
-    "persistence_tiles": f"""WITH RECURSIVE {PX}, tv AS (SELECT (r // 5 * 20 + c // 5)::INT AS i, (r % 5) * 5 + c % 5 AS n, v AS f FROM px),
- sd AS (SELECT a.i, a.n AS a, b.n AS b FROM tv a JOIN tv b ON b.i = a.i AND ((b.n = a.n + 1 AND a.n % 5 < 4) OR b.n = a.n + 5 OR (b.n = a.n + 6 AND a.n % 5 < 4))),
- ad AS (SELECT i, a, b FROM sd UNION ALL SELECT i, b, a FROM sd),
+    "betti_numbers": f"""WITH RECURSIVE {TILES},
+ tt AS (SELECT a.i, greatest(a.f, b.f, c.f) AS f FROM tv a JOIN tv c ON c.i = a.i AND c.n = a.n + 6 JOIN tv b ON b.i = a.i AND (b.n = a.n + 1 OR b.n = a.n + 5) WHERE a.n % 5 < 4),
+ lv AS (SELECT DISTINCT i, unnest({[float(x) for x in LEVELS]})::DOUBLE AS level FROM tv),
+ rch AS (SELECT tv.i, level, n, n AS u FROM tv JOIN lv ON lv.i = tv.i AND f <= level UNION SELECT rch.i, level, rch.n, ad.b FROM rch JOIN ad ON ad.i = rch.i AND ad.a = rch.u JOIN tv x ON x.i = ad.i AND x.n = ad.b AND x.f <= level),
+ b0 AS (SELECT i, level, count(*) AS b0 FROM (SELECT i, level, n FROM rch GROUP BY i, level, n HAVING min(u) = n) GROUP BY i, level),
+ eu AS (SELECT lv.i, lv.level, (SELECT count(*) FROM tv WHERE tv.i = lv.i AND f <= lv.level) - (SELECT count(*) FROM se WHERE se.i = lv.i AND f <= lv.level) + (SELECT count(*) FROM tt WHERE tt.i = lv.i AND f <= lv.level) AS chi FROM lv)
+ SELECT eu.i AS image_id, eu.level, coalesce(b0, 0)::BIGINT AS b0, (coalesce(b0, 0) - chi)::BIGINT AS b1 FROM eu LEFT JOIN b0 ON b0.i = eu.i AND b0.level = eu.level""",
+    "persistence_tiles": f"""WITH RECURSIVE {TILES},
  low AS (SELECT * FROM tv m WHERE NOT EXISTS (SELECT 1 FROM ad JOIN tv o ON o.i = ad.i AND o.n = ad.b WHERE ad.i = m.i AND ad.a = m.n AND (o.f, o.n) < (m.f, m.n))),
  rch AS (SELECT low.i, low.n, low.f, l.f AS level, low.n AS u FROM low JOIN (SELECT DISTINCT i, f FROM tv) l ON l.i = low.i AND l.f >= low.f
    UNION SELECT rch.i, rch.n, rch.f, level, ad.b FROM rch JOIN ad ON ad.i = rch.i AND ad.a = rch.u JOIN tv x ON x.i = ad.i AND x.n = ad.b AND x.f <= level),

@@ -224,8 +224,11 @@ def close_pairs(s, d):
 
 
 def neighbor_counts(s, d):
-    """Delaunay neighbours of the cells of each condition: one task a condition."""
-    p = A.cells(s, d).select(F.col("condition").alias("image_id"), "id", "x", "y")
+    """Delaunay neighbours of the cells of each condition: one task a condition.
+
+    The cells lie on a lattice; they are moved a little so that no four of them are on one circle."""
+    move = F.col("id") * F.col("id") % 1009 / 1e5
+    p = A.cells(s, d).select(F.col("condition").alias("image_id"), "id", (F.col("x") + move).alias("x"), (F.col("y") - move).alias("y"))
     return mesh.neighbours(mesh.delaunay(p)).groupBy("image_id", "id").agg(F.count("*").alias("n_neighbours"))
 
 
@@ -362,8 +365,13 @@ SQL = {
     "field_sample": f"WITH {PX}, {CE}, s AS (SELECT id, least(greatest(floor(y / 11.0e0)::INT, 0), (SELECT max(r) FROM px)) AS r, least(greatest(floor(x / 11.0e0)::INT, 0), (SELECT max(c) FROM px)) AS c FROM ce) SELECT id, s.r AS \"row\", s.c AS col, {_q('px.t')} AS theta, {_q('h')} AS coherence FROM s JOIN px ON px.r = s.r AND px.c = s.c",
     "pixel_read_write": f"WITH {PX} SELECT r AS \"row\", c AS col, {_q('CASE WHEN v > 90 THEN 0 ELSE v END')} AS value FROM px",
     "close_pairs": f"WITH {PAIR} SELECT ai AS a_id, bi AS b_id, {_q('d')} AS d FROM pr WHERE d <= 8",
+    "neighbor_counts": f"""WITH {CE}, mv AS (SELECT id, condition, x + (id * id % 1009) / 1e5 AS x, y - (id * id % 1009) / 1e5 AS y FROM ce),
+ ed AS (SELECT a.condition AS image_id, a.id AS a, b.id AS b, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn, (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) AS dot
+   FROM mv a JOIN mv b ON b.condition = a.condition AND a.id < b.id JOIN mv c ON c.condition = a.condition AND c.id <> a.id AND c.id <> b.id),
+ de AS (SELECT image_id, a, b FROM ed GROUP BY ALL HAVING NOT bool_or(turn = 0 AND dot < 0) AND coalesce(max(CASE WHEN turn < 0 THEN dot / turn END), '-inf'::DOUBLE) <= coalesce(min(CASE WHEN turn > 0 THEN dot / turn END), 'inf'::DOUBLE))
+ SELECT image_id, id, count(*) AS n_neighbours FROM (SELECT image_id, a AS id FROM de UNION ALL SELECT image_id, b FROM de) GROUP BY ALL""",
     "streaming_order_batch": f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n, {_q('sqrt(power(avg(cos(2 * (value - pi() * floor(value / pi())))), 2) + power(avg(sin(2 * (value - pi() * floor(value / pi())))), 2))')} AS \"order\" FROM events GROUP BY ALL",
 }
 
-ROWS_ONLY = ("neighbor_counts", "persistence")
+ROWS_ONLY = ("persistence",)
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
