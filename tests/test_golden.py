@@ -186,6 +186,37 @@ def test_pairs(spark):
         pairs.ripley_k(p, (0, 0, 1, 1), [1.0], "none")
 
 
+def test_pair_sums_against_all_pairs(spark, monkeypatch):
+    rng, rows = np.random.default_rng(11), []
+    for image in ("a", "b", "c"):  # a crowd in one square and some points far apart; points at one place; equal and missing numbers
+        xy = [*rng.normal(50, 3, (150, 2)), *rng.uniform(-200, 300, (250, 2)), *[(50.0, 50.0)] * 4, (20.0, -30.0), (30.0, -30.0)]
+        rows += [(image, None if i == 7 else i - (i % 97 == 1), float(a), float(b), None if i % 50 == 3 else float(rng.uniform(0, 3))) for i, (a, b) in enumerate(xy)]
+    rows += [("c", 1000, None, 1.0, 0.5), ("c", 1001, math.nan, 1.0, 0.5), ("c", 1002, math.inf, 1.0, 0.5), ("d", 0, 1.0, 1.0, 0.5)]
+    p = spark.createDataFrame(rows, "image_id string, id long, x double, y double, theta double")
+    g = {(i, b): [] for i in "abcd" for b in range(8)}
+    usable = [r for r in rows if r[1] is not None and r[2] is not None and math.isfinite(r[2])]
+    for one_, other in ((a, b) for a in usable for b in usable if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 20):
+        d = math.sqrt((one_[2] - other[2]) ** 2 + (one_[3] - other[3]) ** 2)
+        if 1e-15 <= d < 20:
+            g[one_[0], min(int(d / 2.5), 7)].append(None if None in (one_[4], other[4]) else math.cos(2 * (one_[4] - other[4])))
+    want = {key: (len(v), sum(known) / len(known) if (known := [x for x in v if x is not None]) else 0.0) for key, v in g.items()}
+    assert sum(x for x, _ in want.values()) > pairs.PAIRS
+    for part, least in ((pairs.PART, pairs.ROWS), (20, 50)):  # squares in parts, rows in many pieces
+        monkeypatch.setattr(pairs, "PART", part)
+        monkeypatch.setattr(pairs, "ROWS", least)
+        got = {(r["image_id"], r["bin"]): (r["n"], r["g"]) for r in pairs.orientational_correlation(p, 2, 20.0, 8).collect()}
+        assert {key: v[0] for key, v in got.items()} == {key: v[0] for key, v in want.items()}
+        assert {key: v[1] for key, v in got.items()} == pytest.approx({key: v[1] for key, v in want.items()}, abs=1e-9)
+
+
+def test_pair_sums_make_no_rows_of_pairs(spark):
+    p = spark.range(3000).selectExpr("0 AS image_id", "id", "CAST(id * 7919 % 10007 AS DOUBLE) AS x", "CAST(id * 104729 % 10009 AS DOUBLE) AS y", "0.5D AS theta")
+    for df in (pairs.orientational_correlation(p, 2, 5000.0, 4),):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "a_id" not in plan
+    assert pairs.orientational_correlation(p, 2, 20000.0, 4).agg({"n": "sum"}).first()[0] == 3000 * 2999 // 2
+
+
 def test_resampling(spark):
     p = spark.createDataFrame([(float(i % 10) * 10, float(i // 10) * 10, float(i)) for i in range(100)], "x double, y double, value double")
     ci = one(resample.confidence_interval(resample.block_bootstrap(p, 20.0, 500, 42), 0.95))
