@@ -187,17 +187,28 @@ def ripley_k(points: DataFrame, bbox: tuple[float, float, float, float], radii:
     if edge not in ("lower_id", "symmetric"):
         raise ValueError("edge is lower_id or symmetric")
     x0, y0, x1, y1 = bbox
-    pairs = close_pairs(points, max(radii))
+    steps = np.unique(np.array(radii, "float64"))
 
-    def weight(side: str):
-        x, y, d = F.col(f"{side}_x"), F.col(f"{side}_y"), F.col("d")
-        near = F.least(x - x0, x1 - x, y - y0, y1 - y)
-        return F.when((d < 1e-15) | (near >= d), 1.0).otherwise(1.0 / F.greatest(near / F.when(d >= 1e-15, d), F.lit(0.25)))
+    def prepare(rows):
+        x, y, ids = rows["x"], rows["y"], rows["id"]
+        near = np.minimum(np.minimum(x - x0, x1 - x), np.minimum(y - y0, y1 - y))
+
+        def weight(at, d):
+            out, gap = np.ones(len(d)), near[at]
+            cut = np.flatnonzero((gap < d) & (d >= 1e-15))
+            out[cut] = 1.0 / np.maximum(gap[cut] / d[cut], 0.25)
+            return out
+
+        def weigh(i, j, d):
+            w = 2.0 * weight(np.where(ids[i] < ids[j], i, j), d) if edge == "lower_id" else weight(i, d) + weight(j, d)
+            return np.searchsorted(steps, d, "left"), w, None
+
+        return weigh
 
-    w = 2.0 * weight("a") if edge == "lower_id" else weight("a") + weight("b")
+    sums = _pair_sums(points, float(steps[-1]), len(steps), prepare)
+    reached = F.explode(F.slice(F.array(*[F.lit(float(r)) for r in steps]), F.col("bin") + 1, len(steps)))
+    sums = sums.select("image_id", "s", reached.alias("r")).groupBy("image_id", "r").agg(F.sum("s").alias("s"))
     every = F.array(*[F.lit(float(r)) for r in radii])
-    rows = pairs.select("image_id", w.alias("w"), F.explode(F.filter(every, lambda r: F.col("d") <= r)).alias("r"))
-    sums = rows.groupBy("image_id", "r").agg(F.sum("w").alias("s"))
     n = points.groupBy("image_id").agg(F.count("*").alias("n")).withColumn("r", F.explode(every))
     k = F.coalesce("s", F.lit(0.0)) * ((x1 - x0) * (y1 - y0)) / (F.col("n") * F.col("n"))
     return n.join(sums, ["image_id", "r"], "left").select("image_id", "r", k.alias("k"), (F.sqrt(k / math.pi) - F.col("r")).alias("l"))

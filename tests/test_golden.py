@@ -193,12 +193,21 @@ def test_pair_sums_against_all_pairs(spark, monkeypatch):
         rows += [(image, None if i == 7 else i - (i % 97 == 1), float(a), float(b), None if i % 50 == 3 else float(rng.uniform(0, 3))) for i, (a, b) in enumerate(xy)]
     rows += [("c", 1000, None, 1.0, 0.5), ("c", 1001, math.nan, 1.0, 0.5), ("c", 1002, math.inf, 1.0, 0.5), ("d", 0, 1.0, 1.0, 0.5)]
     p = spark.createDataFrame(rows, "image_id string, id long, x double, y double, theta double")
+    box, radii = (-200.0, -200.0, 300.0, 300.0), [10.0, 2.5, 20.0]
     g = {(i, b): [] for i in "abcd" for b in range(8)}
+    k = {(i, r, edge): 0.0 for i in "abcd" for r in radii for edge in ("lower_id", "symmetric")}
     usable = [r for r in rows if r[1] is not None and r[2] is not None and math.isfinite(r[2])]
     for one_, other in ((a, b) for a in usable for b in usable if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 20):
         d = math.sqrt((one_[2] - other[2]) ** 2 + (one_[3] - other[3]) ** 2)
         if 1e-15 <= d < 20:
             g[one_[0], min(int(d / 2.5), 7)].append(None if None in (one_[4], other[4]) else math.cos(2 * (one_[4] - other[4])))
+        near = [min(x + 200, 300 - x, y + 200, 300 - y) for _, _, x, y, _ in (one_, other)]
+        w = [1.0 if d < 1e-15 or m >= d else 1 / max(m / d, 0.25) for m in near]
+        for r in radii:
+            if d <= r:
+                k[one_[0], r, "lower_id"] += 2 * w[0]
+                k[one_[0], r, "symmetric"] += sum(w)
+    n = {i: sum(r[0] == i for r in rows) for i in "abcd"}
     want = {key: (len(v), sum(known) / len(known) if (known := [x for x in v if x is not None]) else 0.0) for key, v in g.items()}
     assert sum(x for x, _ in want.values()) > pairs.PAIRS
     for part, least in ((pairs.PART, pairs.ROWS), (20, 50)):  # squares in parts, rows in many pieces
@@ -207,11 +216,14 @@ def test_pair_sums_against_all_pairs(spark, monkeypatch):
         got = {(r["image_id"], r["bin"]): (r["n"], r["g"]) for r in pairs.orientational_correlation(p, 2, 20.0, 8).collect()}
         assert {key: v[0] for key, v in got.items()} == {key: v[0] for key, v in want.items()}
         assert {key: v[1] for key, v in got.items()} == pytest.approx({key: v[1] for key, v in want.items()}, abs=1e-9)
+        for edge in ("lower_id", "symmetric"):
+            got = {(r["image_id"], r["r"]): r["k"] for r in pairs.ripley_k(p, box, radii, edge).collect()}
+            assert got == pytest.approx({(i, r): v * 250_000 / n[i] ** 2 for (i, r, e), v in k.items() if e == edge}, abs=1e-9)
 
 
 def test_pair_sums_make_no_rows_of_pairs(spark):
     p = spark.range(3000).selectExpr("0 AS image_id", "id", "CAST(id * 7919 % 10007 AS DOUBLE) AS x", "CAST(id * 104729 % 10009 AS DOUBLE) AS y", "0.5D AS theta")
-    for df in (pairs.orientational_correlation(p, 2, 5000.0, 4),):
+    for df in (pairs.orientational_correlation(p, 2, 5000.0, 4), pairs.ripley_k(p, (0.0, 0.0, 10007.0, 10009.0), [5000.0])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "a_id" not in plan
     assert pairs.orientational_correlation(p, 2, 20000.0, 4).agg({"n": "sum"}).first()[0] == 3000 * 2999 // 2
