@@ -72,7 +72,7 @@ def band_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands under file names with a well and a number, as two pages of integers."""
     p, band = bands(spark, sf_dir), F.col("image_id")
     name = F.format_string("%s%02d_dapi-vim-%05d.tif", F.substring(F.lit("abcdefgh"), band % 8 + 1, F.lit(1)), (F.floor(band / 8) % 99 + 1).cast("int"), band)
-    return p.select(name.alias("image_id"), "row", "col", F.round(F.col("value") * 100).cast("int").alias("dapi"), F.floor(F.col("coherence") * 1000).cast("int").alias("vimentin"))
+    return p.select(name.alias("image_id"), "row", "col", F.round(F.col("value") * 100).cast("long").alias("dapi"), F.floor(F.col("coherence") * 1000).cast("int").alias("vimentin"))
 
 
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:

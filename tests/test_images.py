@@ -5,11 +5,13 @@ import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from axialis.operators import homology, ring, stencil
 from axialis.plans import adapters as A
+from axialis.plans import image_queries
 from axialis.plans.pipeline import analyze_fields
 from axialis.sources import tiff
 
@@ -121,6 +123,29 @@ def test_tiff_samples():
         tiff.pages(b"no image at all")
 
 
+def test_written_tiffs_hold_all_values(spark, tmp_path):
+    rows = [("a", 0, 65535), ("b", 0, 65536), ("c", -1, 65535), ("d", -5, 5), ("e", 0, 3 * 10**9), ("f", -(2**40), 2**50)]
+    images = spark.createDataFrame([(f"{n}.tif", 0, k, int(v)) for n, *both in rows for k, v in enumerate(both)], "image_id string, row int, col int, value long")
+    written = {r["image_id"][0]: r["length"] for r in tiff.write_tiffs(images, str(tmp_path), ("value",)).collect()}
+    assert written["a"] == written["d"] == 8 + 2 * 2 + 2 + 9 * 12 + 4
+    got = tiff.load_tiffs(spark, str(tmp_path), {"x": 0}, normalise=False)["x"].selectExpr("substr(image_id, -5, 1) AS n", "col", "value").collect()
+    assert sorted(map(tuple, got)) == sorted((n, k, float(v)) for n, *both in rows for k, v in enumerate(both))
+    with pytest.raises(Exception, match="without value"):
+        tiff.write_tiffs(images.withColumn("value", A.F.when(images["col"] == 0, images["value"])), str(tmp_path / "missing"), ("value",))
+
+
+def test_tiff_channels_of_bright_pixels(spark, tmp_path):
+    """Values of 655.36 and more take over 16 bits once they are multiplied by 100."""
+    e = spark.range(1000).selectExpr("id AS event_id", "CASE id WHEN 3 THEN 655.36D WHEN 500 THEN 30000000.25D WHEN 999 THEN -3.5D ELSE id % 70 / 4D END AS value")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    sql = image_queries.SQL["tiff_channels"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = image_queries.tiff_channels(spark, str(tmp_path))
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    want = duckdb.sql(f"SELECT {columns} FROM ({sql})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r["length"] for r in image_queries.tiff_discovery(spark, str(tmp_path)).collect()} == {4236}
+
+
 def hull_by_hand(points):
     ring_ = sorted(set(points))
 
