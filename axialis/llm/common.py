@@ -50,6 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few_parts(df: DataFrame, each: int = 8) -> DataFrame:
+    """A small table behind a shuffle in fewer tasks and files: every `each` partitions are one task's, one after another
+    (a task sorts one of them at a time), but at least four tasks a core stay.
+
+    For each file on a local disk, without Hadoop's native library, an executor starts chmod three times; until the
+    child runs, it shares the executor's memory and can be counted with all of it."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // each))
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)

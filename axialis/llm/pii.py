@@ -27,7 +27,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored
+from .common import few_parts, salted_join, stored
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -60,16 +60,18 @@ FEATURES = ("loose", "long", "left_word", "right_word", *LABELERS)
 def _candidates(text: Column, kind: str, loose: bool) -> Column:
     """Array of struct(kind, loose, i, gap, hit, before, after) of one pattern's matches."""
     pattern, need = (LOOSE[kind], LOOSE_NEED[kind]) if loose else (BASE[kind], NEED[kind])
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(hits.alias("hit"), parts.alias("part"), F.slice(F.split(text, pattern, -1), 2, 1 << 30).alias("then"))
-    made = F.transform(
-        zipped,
-        lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), F.lit(loose).alias("loose"), i.alias("i"), F.length(x["part"]).alias("gap"), x["hit"].alias("hit"),
-            F.lower(F.right(x["part"], F.lit(32))).alias("before"), F.left(x["then"], F.lit(1)).alias("after"),
-        ),
-    )
+    both = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("parts")))
+
+    def of(hits: Column, parts: Column) -> Column:
+        return F.transform(
+            hits,
+            lambda hit, i: F.struct(
+                F.lit(kind).alias("kind"), F.lit(loose).alias("loose"), i.alias("i"), F.length(F.get(parts, i)).alias("gap"), hit.alias("hit"),
+                F.lower(F.right(F.get(parts, i), F.lit(32))).alias("before"), F.left(F.get(parts, i + 1), F.lit(1)).alias("after"),
+            ),
+        )
+
+    made = F.flatten(F.transform(both, lambda x: of(x["hits"], x["parts"])))  # one element: hits and parts are made once
     empty = F.expr("cast(array() as array<struct<kind:string,loose:boolean,i:int,gap:int,hit:string,before:string,after:string>>)")
     return F.when(text.rlike(need), made).otherwise(empty)
 
@@ -131,7 +133,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("th"), text.alias("text"))
     every = [_candidates(F.col("text"), k, False) for k in KINDS] + [_candidates(F.col("text"), k, True) for k in LOOSE]
-    rows = keyed.select("th", F.explode(F.concat(*every)).alias("c")).select("th", "c.*").where("hit is not null")
+    rows = keyed.select("th", F.explode(F.concat(*every)).alias("c")).select("th", "c.*")
     once = rows.groupBy("th", "kind", "loose", "i").agg(F.first("gap").alias("gap"), F.first("hit").alias("hit"), F.first("before").alias("before"), F.first("after").alias("after"), F.count("*").alias("copies"))
     order = Window.partitionBy("th", "kind", "loose").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("hit")
@@ -214,7 +216,7 @@ def _joined(spans: Column) -> Column:
 
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row."""
-    found = accepted(stored(candidates(docs), "candidates")).where("accept")
+    found = accepted(stored(few_parts(candidates(docs)), "candidates")).where("accept")
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     span = F.struct(place.alias("place"), "start", "end", "kind")
     lists = found.groupBy("th").agg(

@@ -460,6 +460,25 @@ def test_written_out_forms_are_added(spark, sf_dir):
     assert sum(len(r["spans"].split(",")) for r in got) <= 126
 
 
+def test_candidates_are_few_files(spark, monkeypatch):
+    """Many shuffle partitions don't make as many files of candidates; rows are the same."""
+    made = []
+    monkeypatch.setattr(pii, "stored", lambda df, name: made.append(common.stored(df, name)) or made[-1])
+    docs = spark.createDataFrame([(i, f"mail n{i}@host.org or call +49 30 1234{i:04d}") for i in range(600)], "doc_id long, text string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "120")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = pii.private_spans(docs).collect()
+        files = made[0].inputFiles()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(made) == 1 and made[0].count() >= 1200
+    assert len(files) <= max(15, 4 * spark.sparkContext.defaultParallelism)
+    assert len(got) == 600 and all((r["n_email"], r["n_phone"], r["n_ip"], r["n_card"]) == (1, 1, 0, 0) for r in got)
+
+
 def test_reliabilities_follow_agreement():
     chance = pii.reliabilities([((0, 1, 1, 1, 1), 50.0), ((0, -1, -1, -1, -1), 50.0), ((0, 1, 1, 0, 1), 5.0), ((1, 0, 1, 1, 1), 5.0)])
     assert chance[(0, 1, 1, 1, 1)] > 0.9 and chance[(0, -1, -1, -1, -1)] < 0.1 and chance[(0, 1, 1, 0, 1)] > 0.8 and chance[(1, 0, 1, 1, 1)] > 0.8
