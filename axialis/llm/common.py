@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -60,6 +61,11 @@ def few_parts(df: DataFrame, each: int = 8) -> DataFrame:
     return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // each))
 
 
+def few_stored(df: DataFrame, name: str) -> DataFrame:
+    """`stored`, in few files: for tables of keys and labels behind a shuffle."""
+    return stored(few_parts(df), name)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -109,6 +115,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def give_back() -> None:
+    """Returns this process's freed memory to the system, where the C library can.
+
+    A Python worker serves tasks of all stages, and what one of them has freed would stay its own beside what the
+    next one allocates."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sliced(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices whose rows' sizes add up to at most `limit`, or of one row."""
     ends, at = np.cumsum(sizes), 0
@@ -124,20 +140,24 @@ def lengths(column: pa.Array) -> np.ndarray:
 
 
 def byte_chunks(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most `limit` bytes (or one row) in the given text or binary columns."""
+    """Slices of at most `limit` bytes (or one row) in the given text or binary columns; before and after, `give_back`."""
+    give_back()
     for batch in batches:
         if batch.num_rows:
             yield from sliced(batch, sum(lengths(batch.column(i)) for i in columns), limit)
+    give_back()
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most `limit` bytes of text (or one row), nulls read as empty texts."""
+    """Slices of at most `limit` bytes of text (or one row), nulls read as empty texts; before and after, `give_back`."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
         i = batch.schema.get_field_index(column)
         texts = pc.fill_null(batch.column(i).cast(pa.large_string()), "")
         yield from sliced(batch.set_column(i, column, texts), lengths(texts), limit)
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS_SQL, byte_chunks, discard, mix64, salted_join, shingle_hashes, skew_join, stored, text_chunks, top_keys, word_hashes
+from .common import WORDS_SQL, byte_chunks, discard, few_stored, mix64, salted_join, shingle_hashes, skew_join, stored, text_chunks, top_keys, word_hashes
 
 BANDS = 25
 ROWS = 4
@@ -144,7 +144,7 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     ones of sizes p and q are similar enough if 9 o >= 4 (p + q)."""
     own = texts.join(rest, "th", "left_semi").select("th", "text")
     tokens = stored(own.mapInArrow(_tokens, "th binary, n int, token long"), "tokens")
-    often = stored(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    often = few_stored(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "often")
     known = skew_join(tokens, often, "token", top_keys(often, "token", "f", tokens.count()), "th")
     known = known.groupBy("th").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
     known = known.where("5 * size(t) >= 4 * n")
@@ -154,7 +154,7 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     discard(tokens, often)
     p, q = placed.alias("p"), placed.alias("q")
     both = p.join(q, F.expr("p.token = q.token and p.component < q.component and 9 * least(p.n - p.pos, q.n - q.pos) >= 4 * (p.n + q.n)"))
-    pairs = stored(both.select(F.col("p.th").alias("a"), F.col("q.th").alias("b")).distinct(), "pairs")
+    pairs = few_stored(both.select(F.col("p.th").alias("a"), F.col("q.th").alias("b")).distinct(), "pairs")
     discard(placed)
     return pairs
 
@@ -165,15 +165,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label among a text's neighbours, gives it to the text's parent too (hooking), and
     jumps over the parent. Labels only fall, and a round without a change leaves one label a component. A text of
     most links and a component of most texts are spread by salts."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label = stored(edges.groupBy(F.col("a").alias("th")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    edges = few_stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    label = few_stored(edges.groupBy(F.col("a").alias("th")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         far = salted_join(edges, label.select(F.col("th").alias("b"), "component"), "b", "a").groupBy(F.col("a").alias("th")).agg(F.min("component").alias("far"))
-        step = stored(label.join(far, "th").select("th", F.col("component").alias("was"), F.least("component", "far").alias("low")), "steps")
+        step = few_stored(label.join(far, "th").select("th", F.col("component").alias("was"), F.least("component", "far").alias("low")), "steps")
         hooks = step.groupBy(F.col("was").alias("th")).agg(F.min("low").alias("hook"))
-        hooked = stored(step.join(hooks, "th", "left").select("th", "was", F.least("low", "hook").alias("component")), "hooked")
+        hooked = few_stored(step.join(hooks, "th", "left").select("th", "was", F.least("low", "hook").alias("component")), "hooked")
         roots = hooked.select(F.col("th").alias("component"), F.col("component").alias("root"))
-        new = stored(salted_join(hooked, roots, "component", "th").select("th", F.least("component", "root").alias("component"), "was"), "labels")
+        new = few_stored(salted_join(hooked, roots, "component", "th").select("th", F.least("component", "root").alias("component"), "was"), "labels")
         discard(label, step, hooked)
         label = new
         if not new.where("component <> was").limit(1).count():
@@ -186,30 +186,30 @@ def near_classes(docs: DataFrame, described: bool = True) -> DataFrame:
     similarity, n_links and best."""
     rows = docs.select(text_key().alias("th"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = rows.mapInArrow(_sign, "th binary, bands array<long>").groupBy("th").agg(F.first("bands").alias("bands"))
-    signed = stored(signed, "signed")
+    signed = few_stored(signed, "signed")
     spread = signed.select("th", F.explode("bands").alias("key"))
-    sizes = stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    sizes = few_stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     top = top_keys(sizes, "key", "n", BANDS * signed.count())
-    members = stored(skew_join(spread, sizes, "key", top, "th"), "shared")
+    members = few_stored(skew_join(spread, sizes, "key", top, "th"), "shared")
     # a bucket's head is its most central text, whose buckets hold the most texts: changed copies lie around it
     central = members.groupBy("th").agg(F.sum("n").alias("weight"))
     ranked = members.join(central, "th").select("key", "th", "weight")
-    heads = stored(ranked.groupBy("key").agg(F.max(F.struct("weight", "th")).alias("m")).select("key", F.col("m.th").alias("head")), "heads")
-    near = stored(skew_join(members.select("key", "th"), heads, "key", top, "th"), "members")
+    heads = few_stored(ranked.groupBy("key").agg(F.max(F.struct("weight", "th")).alias("m")).select("key", F.col("m.th").alias("head")), "heads")
+    near = few_stored(skew_join(members.select("key", "th"), heads, "key", top, "th"), "members")
     discard(members, heads)
     wanted = near.select("th").distinct()
     texts = rows.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th", "left_semi")
     texts = stored(texts, "texts")
-    tried = stored(verified(near.where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b")).distinct(), texts).where(F.col("similarity") >= LEAST), "links")
+    tried = few_stored(verified(near.where("th <> head").select(F.col("th").alias("a"), F.col("head").alias("b")).distinct(), texts).where(F.col("similarity") >= LEAST), "links")
     label = components(tried)
     named = near.join(label, "th", "left").select("key", "th", F.coalesce("component", "th").alias("component"))
-    named = stored(named, "named")
+    named = few_stored(named, "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    mixed = stored(mixed, "mixed")
-    rest = stored(skew_join(named, mixed, "key", top, "th").select("th", "component").distinct(), "rest")
+    mixed = few_stored(mixed, "mixed")
+    rest = few_stored(skew_join(named, mixed, "key", top, "th").select("th", "component").distinct(), "rest")
     discard(near, named, mixed, sizes)
     pairs = prefix_pairs(rest, texts)
-    more = stored(verified(pairs, texts).where(F.col("similarity") >= LEAST), "links")
+    more = few_stored(verified(pairs, texts).where(F.col("similarity") >= LEAST), "links")
     every = signed.select("th").join(label, "th", "left").select("th", F.coalesce("component", "th").alias("component"))
     if more.limit(1).count():
         # components of the first links are single texts now, and the further links are between them
@@ -218,7 +218,7 @@ def near_classes(docs: DataFrame, described: bool = True) -> DataFrame:
         joined = components(more.join(own, "a").join(other, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         joined = joined.select(F.col("th").alias("component"), F.col("component").alias("least"))
         every = salted_join(every, joined, "component", "th", "left").select("th", F.coalesce("least", "component").alias("component"))
-    every = stored(every, "components")
+    every = few_stored(every, "components")
     if not described:
         discard(pairs, rest, texts, signed, label, tried, more)
         return every

@@ -4,8 +4,11 @@ import hashlib
 import html
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -479,6 +482,47 @@ def test_candidates_are_few_files(spark, monkeypatch):
     assert len(got) == 600 and all((r["n_email"], r["n_phone"], r["n_ip"], r["n_card"]) == (1, 1, 0, 0) for r in got)
 
 
+def test_near_duplicates_are_few_files(spark, monkeypatch):
+    """Many shuffle partitions don't make as many files of keys and labels; classes are the same."""
+    made = []
+    monkeypatch.setattr(near_dedup, "discard", lambda *frames: made.extend((df, len(df.inputFiles())) for df in frames))
+    base = [prose(60, k) for k in range(40)]
+    docs = spark.createDataFrame([(i, base[i % 40] + (f" w{i}" if i % 3 else "")) for i in range(600)], "doc_id long, text string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "120")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = near_dedup.keep_one(docs).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    most = max(15, 4 * spark.sparkContext.defaultParallelism)
+    small = [n for df, n in made if not {"text", "token"} & set(df.columns)]
+    assert len(small) >= 12 and max(small) <= most
+    assert sorted(r["doc_id"] for r in got) == list(range(40))
+
+
+def test_freed_memory_is_given_back():
+    """What a task has freed isn't kept by its Python worker; one small block above it would hold it all."""
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from axialis.llm import common
+def private():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+before, pins = private(), []
+for chunk in common.{0}:
+    junk = [np.ones(12_000) for _ in range(1_500)]
+    pins.append(np.ones(12_000))
+    del junk
+print(private() - before)
+"""
+    batch = 'iter([pa.RecordBatch.from_arrays([pa.array(["a"])], ["text"])])'
+    for call in (f"text_chunks({batch})", f"byte_chunks({batch}, (0,))"):
+        run = subprocess.run([sys.executable, "-c", code.format(call)], cwd=Path(common.__file__).parents[2], capture_output=True, text=True, check=True)
+        assert int(run.stdout) < 60, run.stdout  # 137 MB were freed
+
+
 def test_reliabilities_follow_agreement():
     chance = pii.reliabilities([((0, 1, 1, 1, 1), 50.0), ((0, -1, -1, -1, -1), 50.0), ((0, 1, 1, 0, 1), 5.0), ((1, 0, 1, 1, 1), 5.0)])
     assert chance[(0, 1, 1, 1, 1)] > 0.9 and chance[(0, -1, -1, -1, -1)] < 0.1 and chance[(0, 1, 1, 0, 1)] > 0.8 and chance[(1, 0, 1, 1, 1)] > 0.8
