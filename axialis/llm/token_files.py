@@ -96,6 +96,11 @@ class Sequences:
         self.writer.close()
 
 
+def own_copy(column: pa.Array) -> pa.Array:
+    """A column without its batch: all columns of a batch share one buffer, so kept ids would keep the texts too."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, length: int = LENGTH, order: list[Column] | None = None) -> DataFrame:
     """Writes the files; returns file, n_docs, n_ids of each, in the documents' order: that of `order`, else of doc_id."""
     by = order or [F.col("doc_id").cast("long"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
@@ -113,7 +118,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 2, length:
         with where.open_output_stream(own) as sink:
             out = Sequences(sink, length)
             for batch in text_chunks(batches):
-                ids.append(batch.column(0))
+                ids.append(own_copy(batch.column(0)))
                 for data in encode(batch.column(1).to_pylist()):
                     starts.append(at)
                     counts.append(len(data) // 2)

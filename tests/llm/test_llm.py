@@ -523,6 +523,31 @@ print(private() - before)
         assert int(run.stdout) < 60, run.stdout  # 137 MB were freed
 
 
+def test_kept_ids_hold_no_texts(tmp_path):
+    """A file's ids are kept until it is written, its texts aren't."""
+    code = """
+import re, sys
+import pyarrow as pa
+from axialis.llm import common, token_files
+def private():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+b = pa.record_batch([pa.array([None, *range(999)], pa.int64()), pa.array(["x" * 2000] * 1000)], ["doc_id", "text"])
+with pa.OSFile(sys.argv[1], "wb") as sink, pa.ipc.new_stream(sink, b.schema) as writer:
+    for _ in range(50):
+        writer.write_batch(b)
+common.give_back()
+before, ids = private(), []
+for chunk in common.text_chunks(pa.ipc.open_stream(open(sys.argv[1], "rb"))):
+    ids.append(token_files.own_copy(chunk.column(0)))
+del chunk
+common.give_back()
+assert pa.concat_arrays(ids).to_pylist() == [None, *range(999)] * 50
+print(private() - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code, f"{tmp_path}/stream"], cwd=Path(common.__file__).parents[2], capture_output=True, text=True, check=True)
+    assert int(run.stdout) < 40, run.stdout  # the texts have 95 MB
+
+
 def test_reliabilities_follow_agreement():
     chance = pii.reliabilities([((0, 1, 1, 1, 1), 50.0), ((0, -1, -1, -1, -1), 50.0), ((0, 1, 1, 0, 1), 5.0), ((1, 0, 1, 1, 1), 5.0)])
     assert chance[(0, 1, 1, 1, 1)] > 0.9 and chance[(0, -1, -1, -1, -1)] < 0.1 and chance[(0, 1, 1, 0, 1)] > 0.8 and chance[(1, 0, 1, 1, 1)] > 0.8
